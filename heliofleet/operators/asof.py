@@ -27,11 +27,11 @@ def asof_nearest(
     busy station nor a busy quarter of an hour multiplies anything. The bound is inclusive; of two
     equally distant rows the earlier one wins. The right side needs one row per key and time.
     """
+    if set(values) & set(left.columns):
+        raise ValueError("value columns already present on the left side")
     stacked = left.withColumn(_SIDE, F.lit(1)).unionByName(
         right.select(*by, on, *values).withColumn(_SIDE, F.lit(0)), allowMissingColumns=True
-    ) if not set(values) & set(left.columns) else None
-    if stacked is None:
-        raise ValueError("value columns already present on the left side")
+    )
     packed = F.when(F.col(_SIDE) == 0, F.struct(micros(F.col(on)).alias("t"), *values))
     swept = neighbours(stacked, {"r": packed}, Order(tuple(by), on, (_SIDE,), chunk_seconds)).filter(F.col(_SIDE) == 1)
     t, limit = micros(F.col(on)), F.lit(tolerance_seconds * 1_000_000)
@@ -67,31 +67,39 @@ def fill_mask(is_sunlit: Column) -> Column:
     return F.col(C.RADIATION).isNull() | F.coalesce((F.col(C.RADIATION) == 0) & is_sunlit, F.lit(False))
 
 
-def _per_station(df: DataFrame, ranked: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(i + 1).alias("_rank"), F.lit(s).alias("station")) for i, s in enumerate(ranked)])
-    return df.select("*", F.inline(pairs))
+def station_pairs(ranked: Sequence[str]) -> Column:
+    """Rank and name of each station of an ordered pool, as an array of structs."""
+    return F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.lit(s).alias("station")) for i, s in enumerate(ranked)])
+
+
+def _per_station(df: DataFrame, ranked: Sequence[str] | DataFrame) -> DataFrame:
+    if isinstance(ranked, DataFrame):
+        return df.join(ranked.select(C.PLANT, "station", "rank"), C.PLANT)
+    return df.select("*", F.inline(station_pairs(ranked)))
 
 
 def fill_from_stations(
-    df: DataFrame, stations: DataFrame, ranked: Sequence[str], is_sunlit: Column, tolerance_seconds: int = TOLERANCE
+    df: DataFrame, stations: DataFrame, ranked: Sequence[str] | DataFrame, is_sunlit: Column,
+    tolerance_seconds: int = TOLERANCE,
 ) -> DataFrame:
     """Replace missing radiation by nearby stations, in rank order; ``filled_from`` names the station.
 
-    Only rows that need a value are looked up, against all stations at once. A station's zero in
-    daytime stays eligible for the next station, so: at night the first value wins; in daylight the
-    first non-zero value, else zero if any station had one, else the reading is left as it was.
+    ``ranked`` is one order for all plants, or a table with a rank per plant and station. Only rows
+    that need a value are looked up, against all stations at once. A station's zero in daytime
+    stays eligible for the next station, so: at night the first value wins; in daylight the first
+    non-zero value, else zero if any station had one, else the reading is left as it was.
     """
-    if not ranked:
+    if not isinstance(ranked, DataFrame) and not ranked:
         return df.withColumn("filled_from", F.lit(None).cast("string"))
     needs = fill_mask(is_sunlit)
     rest = df.filter(~needs).withColumn("filled_from", F.lit(None).cast("string"))
     holes = df.filter(needs).withColumn("_sunlit", F.coalesce(is_sunlit, F.lit(False)))
     offered = asof_nearest(
         _per_station(holes.select(C.PLANT, C.TS, "_sunlit"), ranked),
-        stations.filter(F.col("station").isin(*ranked)).select("station", C.TS, "station_radiation"),
+        stations.select("station", C.TS, "station_radiation"),
         ["station_radiation"], ("station",), tolerance_seconds=tolerance_seconds,
     )
-    value, rank = F.col("station_radiation"), F.col("_rank")
+    value, rank = F.col("station_radiation"), F.col("rank")
     choice = F.struct(value.alias("v"), F.col("station").alias("s"))
     first_any = F.min_by(choice, F.when(value.isNotNull(), rank))
     first_lit = F.min_by(choice, F.when(value.isNotNull() & (value != 0), rank))
@@ -105,6 +113,14 @@ def fill_from_stations(
     return rest.unionByName(filled)
 
 
+def ranking_or_pool(ranking: DataFrame, df: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """The ranking, and the pool's own order for plants in which no station qualified."""
+    plants = df.select(C.PLANT).distinct()
+    unranked = plants.join(ranking.select(C.PLANT).distinct(), C.PLANT, "left_anti")
+    own = ranking.select(C.PLANT, "rank", "station")
+    return own.unionByName(unranked.select(C.PLANT, F.inline(station_pairs(pool))))
+
+
 def rank_stations(
     df: DataFrame, stations: DataFrame, sample_year: int, pool: Sequence[str], min_overlap: int,
     tolerance_seconds: int = TOLERANCE,
@@ -121,23 +137,17 @@ def rank_stations(
     near = (F.dayofmonth(C.TS) == 1) | (F.dayofmonth(F.col(C.TS) - reach) == 1) | (F.dayofmonth(F.col(C.TS) + reach) == 1)
     plant_rows = df.filter((F.year(C.TS) == sample_year) & F.col(C.RADIATION).isNotNull() & near)
     matched = asof_nearest(
-        _per_station(plant_rows.select(C.PLANT, C.TS, C.RADIATION), pool),
+        _per_station(plant_rows.select(C.PLANT, C.TS, C.RADIATION), pool).drop("rank"),
         sample.select("station", C.TS, "station_radiation"), ["station_radiation"], ("station",),
         tolerance_seconds=tolerance_seconds,
     )
     scores = matched.filter(F.col("station_radiation").isNotNull()).groupBy(C.PLANT, "station").agg(
         F.count("*").alias("overlap"), F.corr(C.RADIATION, "station_radiation").alias("corr")
     ).filter((F.col("overlap") >= min_overlap) & F.col("corr").isNotNull())
-    w = Window.partitionBy(C.PLANT).orderBy(F.desc("corr"), "station")
+    w = Window.partitionBy(C.PLANT).orderBy(F.desc("corr"), "station")  # at most the pool per plant
     return scores.withColumn("rank", F.row_number().over(w))
 
 
-def station_order(ranking: DataFrame, plant: str, pool: Sequence[str]) -> list[str]:
-    """Ranked station names of one plant; the given order if none qualifies (pool-sized result)."""
-    rows = ranking.filter(F.col(C.PLANT) == plant).orderBy("rank").select("station").limit(len(pool)).collect()
-    return [r["station"] for r in rows] or list(pool)
-
-
 def remaining_gaps(df: DataFrame, sample: int = 10) -> tuple[DataFrame, DataFrame]:
     """Count of NULL radiation per plant, and the first few such rows."""
     gaps = df.filter(F.col(C.RADIATION).isNull())

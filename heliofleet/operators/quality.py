@@ -230,14 +230,23 @@ def monthly_correlation(df: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 # ---- outliers ------------------------------------------------------------------------------
 
-def iqr_bounds(df: DataFrame, column: str, k: float = 3.0) -> DataFrame:
-    """One row per plant: ``lower`` and ``upper`` fences of a column."""
-    q = exact_quantiles(df, column, (0.25, 0.75), (C.PLANT,)).groupBy(C.PLANT).agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("_q1"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("_q3"),
+def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
+    """One row per plant with the fences ``_lo_<column>`` and ``_hi_<column>``.
+
+    The columns are stacked, so one set of quantile passes serves all of them.
+    """
+    long = df.select(C.PLANT, *columns).unpivot([C.PLANT], list(columns), "_column", "_value")
+    q = exact_quantiles(long, "_value", (0.25, 0.75), (C.PLANT, "_column"))
+
+    def quartile(c: str, p: float) -> Column:
+        return F.max(F.when((F.col("_column") == c) & (F.col("p") == p), F.col("q")))
+
+    q1 = {c: quartile(c, 0.25) for c in columns}
+    q3 = {c: quartile(c, 0.75) for c in columns}
+    return q.groupBy(C.PLANT).agg(
+        *[(q1[c] - k * (q3[c] - q1[c])).alias(f"_lo_{c}") for c in columns],
+        *[(q3[c] + k * (q3[c] - q1[c])).alias(f"_hi_{c}") for c in columns],
     )
-    iqr = F.col("_q3") - F.col("_q1")
-    return q.select(C.PLANT, (F.col("_q1") - k * iqr).alias("lower"), (F.col("_q3") + k * iqr).alias("upper"))
 
 
 def clip_outliers(
@@ -246,14 +255,12 @@ def clip_outliers(
     """Clipped readings, and the outlier rows as they were found.
 
     Columns go one after another: rows listed for the second column already carry the first one
-    clipped. Bounds are one row per plant.
+    clipped. The fences of a column do not depend on the others, so they are all found up front.
     """
-    out, listed = df, None
+    rows, listed = df.join(iqr_bounds(df, columns, k), C.PLANT, "left"), None
     for c in columns:
-        bounded = out.join(iqr_bounds(out, c, k), C.PLANT, "left")
-        hits = bounded.filter((F.col(c) < F.col("lower")) | (F.col(c) > F.col("upper"))).select(
-            F.lit(c).alias("outlier_of"), *df.columns
-        )
+        lower, upper = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        hits = rows.filter((F.col(c) < lower) | (F.col(c) > upper)).select(F.lit(c).alias("outlier_of"), *df.columns)
         listed = hits if listed is None else listed.unionByName(hits)
-        out = bounded.withColumn(c, S.clip(F.col(c), F.col("lower"), F.col("upper"))).select(*df.columns)
-    return out, listed
+        rows = rows.withColumn(c, S.clip(F.col(c), lower, upper))
+    return rows.select(*df.columns), listed

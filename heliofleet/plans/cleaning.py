@@ -13,18 +13,20 @@ from ..functions import scalar as S
 from ..functions.solar import sunlit
 from ..operators import asof, quality, series
 from ..operators.chunks import POS, Order
+from ..session import cut_lineage
 
 
 def clean_readings(df: DataFrame, iqr_multiplier: float = 3.0, fill: bool = True) -> dict[str, DataFrame]:
     """Nulls and negatives, empty days, night radiation, dark power, gaps, outliers - in that order.
 
-    Returns the clean table with the reports taken on the way.
+    Returns the clean table with the reports taken on the way. The filled table is written to the
+    checkpoint folder: the outlier fences read it several times.
     """
     zeroed = quality.zero_nulls_and_negatives(df)
     kept = quality.drop_empty_days(zeroed)
     night = quality.zero_night_radiation(kept)
     dark = quality.zero_power_without_radiation(night)
-    filled = series.fill_gaps(dark, fill=fill)
+    filled = cut_lineage(series.fill_gaps(dark, fill=fill))
     clipped, outliers = quality.clip_outliers(filled, k=iqr_multiplier)
     return {
         "clean": clipped,
@@ -37,16 +39,15 @@ def clean_readings(df: DataFrame, iqr_multiplier: float = 3.0, fill: bool = True
 
 
 def fill_radiation(
-    df: DataFrame, stations: DataFrame, plant: str, pool: Sequence[str], sample_year: int, min_overlap: int,
+    df: DataFrame, stations: DataFrame, pool: Sequence[str], sample_year: int, min_overlap: int,
     latitude: float, longitude: float, zone: str, tolerance_seconds: int = asof.TOLERANCE,
 ) -> dict[str, DataFrame]:
-    """Reset stuck days, rank the stations against one plant, fill its missing radiation."""
-    own = df.filter(F.col(C.PLANT) == plant)
-    reset = quality.reset_stuck_days(own)
-    ranking = asof.rank_stations(reset, stations, sample_year, pool, min_overlap, tolerance_seconds)
-    ranked = asof.station_order(ranking, plant, pool) if pool else []
+    """Reset stuck days, rank the stations for each plant, fill its missing radiation in that order."""
+    reset = quality.reset_stuck_days(df)
     lit = sunlit(F.col(C.TS), latitude, longitude, zone)
-    filled = asof.fill_from_stations(reset, stations, ranked, lit, tolerance_seconds)
+    ranking = asof.rank_stations(reset, stations, sample_year, pool, min_overlap, tolerance_seconds)
+    order = asof.ranking_or_pool(ranking, reset, pool)
+    filled = asof.fill_from_stations(reset, stations, order, lit, tolerance_seconds)
     remaining, sample = asof.remaining_gaps(filled)
     return {"filled": filled, "ranking": ranking, "remaining": remaining, "remaining_sample": sample}
 
