@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..operators import episodes, evaluate, stats
 from ..operators.chunks import PLANT_ORDER, Order
 from ..operators.quality import describe
 from ..operators.splits import first_days
+from ..session import cut_lineage
 
 
 def residual_table(predictions: DataFrame, nominal_kw: Column | float) -> DataFrame:
@@ -55,9 +56,12 @@ def residual_diagnostics(residuals: DataFrame, drivers: Sequence[str] = (C.RADIA
 
 def monitor(residuals: DataFrame, config: C.MonitorConfig = C.MonitorConfig(), order: Order = PLANT_ORDER,
             k: int = 2) -> dict[str, DataFrame]:
-    """Monitored rows, episodes, the longest ones, and the anomalous/normal day extract."""
+    """Monitored rows, episodes, the longest ones, and the anomalous/normal day extract.
+
+    The monitored rows feed all four results and are written once to the checkpoint folder.
+    """
     keys = list(order.keys)
-    rows = episodes.monitored(residuals, config, order)
+    rows = cut_lineage(episodes.monitored(residuals, config, order))
     found = episodes.episodes(rows, config, keys)
     days = episodes.contrast_days(rows, found, keys)
     return {
