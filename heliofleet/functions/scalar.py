@@ -31,8 +31,8 @@ def strip_null_marker(c: Column, marker: str = "\\N") -> Column:
 
 
 def finite(c: Column) -> Column:
-    """NaN and both infinities become NULL (NaN compares as greatest in Spark)."""
-    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    """NaN and both infinities become NULL (NaN compares as greater than infinity in Spark)."""
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def finite_columns(df: DataFrame) -> DataFrame:

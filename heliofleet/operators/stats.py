@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions.special import chi2_tail, normal_pdf, normal_quantile, two_sided_normal
+from ..session import cut_lineage
 from .chunks import (
     PLANT_ORDER, Order, bucket_by_value, exact_quantiles, halo_window, value_ranks, with_scalars,
 )
@@ -205,15 +206,17 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def driver_correlations(df: DataFrame, target: str, drivers: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson and Spearman of a residual against several drivers, one row each."""
+    """Pearson and Spearman of a residual against several drivers, one row each.
+
+    The drivers are stacked, so one set of passes ranks them all; those passes read the narrow
+    stacked table, which is written once.
+    """
     by = list(by)
-    complete = df.dropna(subset=[target, *drivers])
-    out = None
-    for d in drivers:
-        p, s = pearson(complete, d, target, by), spearman(complete, d, target, by).drop("n")
-        row = (p.join(s, by) if by else with_scalars(p, s)).withColumn("driver", F.lit(d))
-        out = row if out is None else out.unionByName(row)
-    return out
+    complete = df.select(*dict.fromkeys([*by, target, *drivers])).dropna(subset=[target, *drivers])
+    pairs = F.array(*[F.struct(F.lit(d).alias("driver"), F.col(d).cast("double").alias("_driver")) for d in drivers])
+    long = cut_lineage(complete.select(*by, F.col(target).alias("_target"), F.inline(pairs)))
+    keys = [*by, "driver"]
+    return pearson(long, "_driver", "_target", keys).join(spearman(long, "_driver", "_target", keys).drop("n"), keys)
 
 
 def kruskal_wallis(df: DataFrame, column: str, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -281,13 +284,13 @@ def ljung_box(acf: DataFrame, tests: Sequence[int] = (1, 4, 8, 16, 24, 48), keys
 def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
     """Local linear trend with tricube weights, evaluated on an even grid.
 
-    Readings are first combined by distinct ``x`` (count, sums), so every pass after that works on
-    distinct values. Bandwidth of a grid point: exact distance of its ceil(frac n)-th nearest row.
+    Readings are first combined by distinct ``x`` (count, sums) and written; every pass after that
+    reads distinct values. Bandwidth of a grid point: exact distance of its ceil(frac n)-th nearest row.
     """
     by = list(by)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    spots = rows.groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_w"), F.sum(y).alias("_sy"))
-    bounds = rows.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_n"))
+    spots = cut_lineage(rows.groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_w"), F.sum(y).alias("_sy")))
+    bounds = spots.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("_n"))
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / (points - 1)
     grid = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
         *by, "i", at.alias("x"), "_n"

@@ -42,10 +42,14 @@ def fill_radiation(
     df: DataFrame, stations: DataFrame, pool: Sequence[str], sample_year: int, min_overlap: int,
     latitude: float, longitude: float, zone: str, tolerance_seconds: int = asof.TOLERANCE,
 ) -> dict[str, DataFrame]:
-    """Reset stuck days, rank the stations for each plant, fill its missing radiation in that order."""
-    reset = quality.reset_stuck_days(df)
+    """Reset stuck days, rank the stations for each plant, fill its missing radiation in that order.
+
+    Readings, station rows and the ranking are each read by several joins and are written once.
+    """
+    reset = cut_lineage(quality.reset_stuck_days(df))
+    stations = cut_lineage(stations.select("station", C.TS, "station_radiation"))
     lit = sunlit(F.col(C.TS), latitude, longitude, zone)
-    ranking = asof.rank_stations(reset, stations, sample_year, pool, min_overlap, tolerance_seconds)
+    ranking = cut_lineage(asof.rank_stations(reset, stations, sample_year, pool, min_overlap, tolerance_seconds))
     order = asof.ranking_or_pool(ranking, reset, pool)
     filled = asof.fill_from_stations(reset, stations, order, lit, tolerance_seconds)
     remaining, sample = asof.remaining_gaps(filled)

@@ -152,4 +152,4 @@ def hourly_completeness(hours: DataFrame, start: str, end: str) -> DataFrame:
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file."""
-    return spark.read.option("wholetext", "true").text(path)
+    return spark.read.text(path, wholetext=True)
