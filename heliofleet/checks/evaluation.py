@@ -21,7 +21,8 @@ def m(where=None, suffix="", scale="", y="y_true", p="y_pred", bias=False):
     f = f" FILTER (WHERE {where})" if where else ""
     e = f"({y} - {p}){scale}"
     out = (f"avg(abs({e})){f} AS MAE{suffix}, sqrt(avg({e} * {e}){f}) AS RMSE{suffix}, "
-           f"1 - sum({e} * {e}){f} / (var_pop({y}{scale}){f} * count({y}){f}) AS R2{suffix}")
+           f"CASE WHEN var_pop({y}{scale}){f} > 0 THEN 1 - sum({e} * {e}){f} / (var_pop({y}{scale}){f} * count({y}){f}) "
+           f"WHEN sum({e} * {e}){f} = 0 THEN 1 WHEN sum({e} * {e}){f} > 0 THEN 0 END AS R2{suffix}")
     return out + (f", avg({e}){f} AS Bias{suffix}" if bias else "")
 
 

@@ -200,7 +200,7 @@ def exported_error(actual: Column, predicted: Column) -> dict[str, Column]:
 
 def paired_errors(actual: Column, a: Column, b: Column, names: tuple[str, str] = ("lag", "nolag")) -> dict[str, Column]:
     out = {f"error_{n}": F.abs(actual - p) for n, p in zip(names, (a, b))}
-    out |= {f"error_rel_{n}": F.abs(actual - p) / (actual + C.RELATIVE_EPS) for n, p in zip(names, (a, b))}
+    out |= {f"error_rel_{n}": F.try_divide(F.abs(actual - p), actual + C.RELATIVE_EPS) for n, p in zip(names, (a, b))}
     return out
 
 

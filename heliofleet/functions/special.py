@@ -43,8 +43,8 @@ def normal_quantile(p: Column) -> Column:
 
 
 def normal_pdf(x: Column, mean: Column, std: Column) -> Column:
-    z = (x - mean) / std
-    return F.exp(-0.5 * z * z) / (std * math.sqrt(2 * math.pi))
+    z = F.try_divide(x - mean, std)
+    return F.try_divide(F.exp(-0.5 * z * z), std * math.sqrt(2 * math.pi))
 
 
 def erfc(x: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import scalar as S
+from ..functions.aggregates import correlation
 from .chunks import Order, micros, neighbours
 from .series import dedupe
 
@@ -142,7 +143,7 @@ def rank_stations(
         tolerance_seconds=tolerance_seconds,
     )
     scores = matched.filter(F.col("station_radiation").isNotNull()).groupBy(C.PLANT, "station").agg(
-        F.count("*").alias("overlap"), F.corr(C.RADIATION, "station_radiation").alias("corr")
+        F.count("*").alias("overlap"), correlation(C.RADIATION, "station_radiation").alias("corr")
     ).filter((F.col("overlap") >= min_overlap) & F.col("corr").isNotNull())
     w = Window.partitionBy(C.PLANT).orderBy(F.desc("corr"), "station")  # at most the pool per plant
     return scores.withColumn("rank", F.row_number().over(w))

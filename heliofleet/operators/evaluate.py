@@ -81,7 +81,7 @@ def improvement_over(table: DataFrame, baseline: str, column: str = "RMSE_day",
 def relative_improvement(new: DataFrame, base: DataFrame, column: str = "RMSE") -> DataFrame:
     joined = new.join(base.select("model", F.col(column).alias(f"{column}_base")), "model", "left")
     gain = F.col(f"{column}_base") - F.col(column)
-    return joined.withColumns({f"{column}_mejora": gain, f"{column}_mejora_pct": gain / F.col(f"{column}_base") * 100})
+    return joined.withColumns({f"{column}_mejora": gain, f"{column}_mejora_pct": F.try_divide(gain, F.col(f"{column}_base")) * 100})
 
 
 # ---- segments ------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ def degradation(table: DataFrame) -> DataFrame:
         "model", F.col("RMSE_luz").alias("RMSE_h1"), F.col("MAE_luz").alias("MAE_h1")
     )
     return table.join(base, "model", "left").withColumns({
-        f"{m}_degradacion_pct": (F.col(f"{m}_luz") - F.col(f"{m}_h1")) / F.col(f"{m}_h1") * 100 for m in ("RMSE", "MAE")
+        f"{m}_degradacion_pct": F.try_divide(F.col(f"{m}_luz") - F.col(f"{m}_h1"), F.col(f"{m}_h1")) * 100 for m in ("RMSE", "MAE")
     })
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import scalar as S
+from ..functions.aggregates import correlation
 from .chunks import exact_quantiles, with_scalars
 
 MEASURES = (C.RADIATION, C.POWER, C.TEMPERATURE)
@@ -35,13 +36,15 @@ def add_nominal_power(
             raise ValueError(f"no nominal power for: {sorted(r[0] for r in unknown)}")
     entries = [F.lit(x) for kv in nominal_kw.items() for x in kv]
     nominal = F.try_element_at(F.create_map(*entries), F.col(C.PLANT)) if entries else F.lit(None).cast("double")
-    return df.withColumn(C.NOMINAL, nominal).withColumn(out, F.col(power) / 1000 / F.col(C.NOMINAL))
+    return df.withColumn(C.NOMINAL, nominal).withColumn(
+        out, F.try_divide(F.col(power) / 1000, F.col(C.NOMINAL))
+    )
 
 
 def add_nominal_from_table(df: DataFrame, nominal: DataFrame, power: str = C.POWER, out: str = C.TARGET) -> DataFrame:
     """The same from a table of plants; Spark broadcasts it if its size allows."""
     return df.join(nominal.select(C.PLANT, C.NOMINAL), C.PLANT, "left").withColumn(
-        out, F.col(power) / 1000 / F.col(C.NOMINAL)
+        out, F.try_divide(F.col(power) / 1000, F.col(C.NOMINAL))
     )
 
 
@@ -223,7 +226,7 @@ def monthly_correlation(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Radiation-power correlation per plant and month; low months are marked."""
     both = df.filter(F.col(C.RADIATION).isNotNull() & F.col(C.POWER).isNotNull())
     out = both.groupBy(C.PLANT, S.month_key(F.col(C.TS)).alias("Mes")).agg(
-        F.corr(C.RADIATION, C.POWER).alias("Correlacion")
+        correlation(C.RADIATION, C.POWER).alias("Correlacion")
     )
     return out.withColumn("low", F.col("Correlacion") < threshold)
 

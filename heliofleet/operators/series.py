@@ -201,7 +201,8 @@ def interpolate(
 
     def filled(c: str) -> Column:
         before, after = F.col(f"prev_{c}"), F.col(f"next_{c}")
-        line = before["v"] + (after["v"] - before["v"]) * ((t - before["t"]) / (after["t"] - before["t"]))
+        share = F.coalesce(F.try_divide(t - before["t"], after["t"] - before["t"]), F.lit(0.0))
+        line = before["v"] + (after["v"] - before["v"]) * share
         value = F.when(before.isNotNull() & after.isNotNull(), line).when(before.isNotNull(), before["v"])
         reach = before.isNotNull() if limit is None else F.coalesce(F.col(POS) - before["i"] <= limit, F.lit(False))
         if both:

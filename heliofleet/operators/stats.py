@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import contracts as C
+from ..functions.aggregates import correlation
 from ..functions.special import chi2_tail, normal_pdf, normal_quantile, two_sided_normal
 from ..session import cut_lineage
 from .chunks import (
@@ -94,7 +95,7 @@ def dagostino(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     x = (g2 + 3 - mean_b2) / F.sqrt(var_b2)
     root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
-    inner = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
+    inner = F.try_divide(1 - 2 / a, 1 + x * F.sqrt(2 / (a - 4)))
     z_kurt = (1 - 2 / (9 * a) - F.signum(inner) * F.cbrt(F.abs(inner))) / F.sqrt(2 / (9 * a))
     k2 = z_skew * z_skew + z_kurt * z_kurt
     return m.select(*by, "n", z_skew.alias("z_skew"), z_kurt.alias("z_kurt"), k2.alias("K2"), F.exp(-k2 / 2).alias("p_value"))
@@ -163,7 +164,7 @@ def _expand_scores(df: DataFrame, column: str, by: Sequence[str], per: int = 10_
 def qq_fit(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Line through the Q-Q points: slope, intercept, R, and Shapiro-Francia W' = R squared."""
     scores = _expand_scores(df, column, by)
-    r = F.corr("score", column)
+    r = correlation("score", column)
     return scores.groupBy(*by).agg(
         F.regr_slope(column, "score").alias("slope"), F.regr_intercept(column, "score").alias("intercept"),
         r.alias("r"), (r * r).alias("w_francia"), F.count("*").alias("n"),
@@ -189,7 +190,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     n_rows = pairs.groupBy(*by).agg(((F.count("*") + 1) / 2).alias("_mid"))
     a, b = a - F.col("_mid"), b - F.col("_mid")
     return _attach(joined, n_rows, by).groupBy(*by).agg(
-        (F.sum(w * a * b) / F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))).alias("spearman_rho"),
+        F.try_divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))).alias("spearman_rho"),
         F.sum("_w").alias("n"),
     )
 
@@ -197,7 +198,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation with its two-sided p-value (normal approximation of Fisher's z, n > 3)."""
     out = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(
-        F.corr(x, y).alias("pearson_r"), F.count("*").alias("n")
+        correlation(x, y).alias("pearson_r"), F.count("*").alias("n")
     )
     r = F.col("pearson_r")
     z = 0.5 * F.ln((1 + r) / (1 - r)) * F.sqrt((F.col("n") - 3).cast("double"))
@@ -233,7 +234,7 @@ def kruskal_wallis(df: DataFrame, column: str, group: str, by: Sequence[str] = (
     total = sums.groupBy(*by).agg(
         F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_q"), F.sum("_n").alias("n"), F.count("*").alias("k")
     ).filter(F.col("k") >= 2)
-    h = (12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.try_divide(F.col("_ties"), n * n * n - n))
     out = _attach(total, ties, by).select(*by, "n", "k", h.alias("H"))
     p = F.when(F.lit(False), F.lit(None).cast("double"))
     for k in range(2, 13):
@@ -270,7 +271,7 @@ def ljung_box(acf: DataFrame, tests: Sequence[int] = (1, 4, 8, 16, 24, 48), keys
     """Q and p-value at several lags from the autocorrelation table."""
     keys = list(keys)
     n, k, r = F.col("n").cast("double"), F.col("lag"), F.col("acf")
-    term = r * r / (n - k)
+    term = F.try_divide(r * r, n - k)
     wide = acf.filter(k > 0).groupBy(*keys, "n").agg(*[F.sum(F.when(k <= m, term)).alias(f"_q{m}") for m in tests])
     rows = F.array(*[
         F.struct(F.lit(m).alias("lag"), (n * (n + 2) * F.col(f"_q{m}")).alias("Q")) for m in tests

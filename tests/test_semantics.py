@@ -275,6 +275,19 @@ def test_sample_does_not_depend_on_partitioning(spark):
     assert sorted(a) == sorted(b) and len(set(a)) == 50
 
 
+def test_constant_series_give_null_not_an_error(spark):
+    flat = spark.createDataFrame([("p", at(f"2024-01-01 {h:02}:00"), 5.0, 7.0, 1.0) for h in range(12)], R).withColumn("g", F.hour("timestamp") % 2)
+    assert quality.monthly_correlation(flat).first()["Correlacion"] is None
+    assert stats.spearman(flat, "radiation", "power").first()["spearman_rho"] is None
+    assert stats.driver_correlations(flat, "power", ("radiation",)).first()["pearson_r"] is None
+    assert stats.kruskal_wallis(flat, "power", "g").first()["H"] is None
+    assert stats.qq_fit(flat, "power").first()["r"] is None
+    assert stats.autocorrelation(flat, "power", 3).count() == 0
+    assert stats.histogram(flat, "power").count() == 0
+    assert stats.kolmogorov_smirnov(flat, "power").first()["statistic"] is None
+    assert {r["pdf"] for r in stats.normal_curve(flat, "power", 3).collect()} == {None}
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], R)
     assert quality.plant_summary(empty).count() == 0
