@@ -19,7 +19,7 @@ TOLERANCE = 15 * 60
 
 def asof_nearest(
     left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str] = (), on: str = C.TS,
-    tolerance_seconds: int = TOLERANCE, chunk_seconds: int = 3600,
+    tolerance_seconds: int = TOLERANCE, chunk_seconds: int = 3600, parts: int | None = None,
 ) -> DataFrame:
     """Each left row gets the closest right row with the same ``by`` values within the tolerance.
 
@@ -27,6 +27,7 @@ def asof_nearest(
     no row pairs, and a right row beyond the chunk arrives through the per-chunk edges, so neither a
     busy station nor a busy quarter of an hour multiplies anything. The bound is inclusive; of two
     equally distant rows the earlier one wins. The right side needs one row per key and time.
+    ``parts`` cuts time into chunks of even size, for bursts that would overfill a fixed width.
     """
     if set(values) & set(left.columns):
         raise ValueError("value columns already present on the left side")
@@ -34,7 +35,7 @@ def asof_nearest(
         right.select(*by, on, *values).withColumn(_SIDE, F.lit(0)), allowMissingColumns=True
     )
     packed = F.when(F.col(_SIDE) == 0, F.struct(micros(F.col(on)).alias("t"), *values))
-    swept = neighbours(stacked, {"r": packed}, Order(tuple(by), on, (_SIDE,), chunk_seconds)).filter(F.col(_SIDE) == 1)
+    swept = neighbours(stacked, {"r": packed}, Order(tuple(by), on, (_SIDE,), chunk_seconds, parts)).filter(F.col(_SIDE) == 1)
     t, limit = micros(F.col(on)), F.lit(tolerance_seconds * 1_000_000)
     back, ahead = t - F.col("prev_r.t"), F.col("next_r.t") - t
     near_back = back.isNotNull() & (back <= limit)

@@ -18,7 +18,7 @@ Series keys must not be NULL (plant identifiers are stamped by the loaders).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -36,19 +36,25 @@ WindowColumn = Callable[[WindowSpec], Column]
 
 @dataclass(frozen=True)
 class Order:
-    """Series keys, the column that orders a series, tie-breakers and the chunk width in seconds."""
+    """Series keys, the column that orders a series, tie-breakers and how time is cut into chunks.
+
+    ``width`` seconds per chunk suit regular sampling: a day of 15-minute rows is 96 rows, and a
+    century is 36,525 chunk totals. For bursts, where one chunk could outgrow a task, ``parts``
+    asks for that many chunks of even size instead; the borders cost one more pass.
+    """
 
     keys: tuple[str, ...] = (C.PLANT,)
     time: str = C.TS
     ties: tuple[str, ...] = ()
     width: int = 86_400
+    parts: int | None = None
 
-    def with_width(self, seconds: int) -> Order:
-        return replace(self, width=seconds)
-
-    @property
-    def chunk(self) -> Column:
-        return F.floor(micros(F.col(self.time)) / (self.width * 1_000_000)).cast("bigint")
+    def chunked(self, df: DataFrame) -> DataFrame:
+        at = micros(F.col(self.time))
+        if self.parts is None:
+            return df.withColumn(_CHUNK, F.floor(at / (self.width * 1_000_000)).cast("bigint"))
+        timed = bucket_by_value(df.withColumn("_at", at.cast("double")), "_at", self.parts)
+        return timed.withColumn(_CHUNK, F.col("_bucket").cast("bigint")).drop("_at", "_bucket")
 
     def sorting(self, descending: bool = False) -> list[Column]:
         columns = [F.col(c) for c in (self.time, *self.ties)]
@@ -62,6 +68,22 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def join_ranked(df: DataFrame, ranked: DataFrame, keys: Sequence[str], count: str, share: int = 1000) -> DataFrame:
+    """Inner join on a value whose frequencies are known, without a hot partition.
+
+    ``ranked`` has one row per key and its ``count`` of rows. Keys that hold more than one in
+    ``share`` of all rows - there cannot be more than ``share`` of them - are joined by broadcast,
+    the others by shuffle.
+    """
+    keys = list(keys)
+    total = ranked.agg(F.sum(count).alias("_all"))
+    marked = with_scalars(ranked, total).withColumn("_hot", F.col(count) * share > F.col("_all")).drop("_all")
+    hot = F.broadcast(marked.filter("_hot").drop("_hot"))
+    cold = marked.filter("NOT _hot").drop("_hot")
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    return df.join(hot, keys).unionByName(rest)
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate (a scalar subquery in SQL terms)."""
     return df.crossJoin(F.broadcast(one_row.limit(1)))
@@ -76,7 +98,7 @@ def _before_totals(totals: DataFrame, keys: Sequence[str], chunk: str, sums: Map
 def number_rows(df: DataFrame, order: Order = PLANT_ORDER, out: str = POS) -> DataFrame:
     """0-based position of each row in its series, in two balanced steps."""
     keys = list(order.keys)
-    chunked = df.withColumn(_CHUNK, order.chunk)
+    chunked = order.chunked(df)
     counts = chunked.groupBy(*keys, _CHUNK).agg(F.count("*").alias("_n"))
     offsets = _before_totals(counts, keys, _CHUNK, {"_n": "_before"})
     inside = F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(*order.sorting()))
@@ -108,7 +130,7 @@ def halo_window(
         stages = [stages]
     numbered = df if POS in df.columns else number_rows(df, order)
     size = max(rows, before, after, 1)
-    home = F.floor(F.col(POS) / size).cast("bigint")
+    home = F.expr(f"{POS} div {size}")
     offset = F.pmod(F.col(POS), F.lit(size))
     first = home - F.when(offset < after, 1).otherwise(0)
     last = home + F.when(offset >= size - before, 1).otherwise(0)
@@ -130,7 +152,7 @@ def running_sum(
     """
     keys = list(order.keys)
     name = chunk or _CHUNK
-    based = (df if chunk else df.withColumn(_CHUNK, order.chunk)).withColumns(
+    based = (df if chunk else order.chunked(df)).withColumns(
         {f"_s_{out}": c for out, c in sums.items()}
     )
     totals = based.groupBy(*keys, name).agg(*[F.sum(f"_s_{o}").alias(f"_t_{o}") for o in sums])
@@ -154,7 +176,7 @@ def neighbours(
     """
     keys = list(order.keys)
     name = chunk or _CHUNK
-    based = (df if chunk else df.withColumn(_CHUNK, order.chunk)).withColumns(
+    based = (df if chunk else order.chunked(df)).withColumns(
         {f"_v_{n}": c for n, c in values.items()}
     )
     rank = F.struct(*[F.col(c) for c in (order.time, *order.ties)])

@@ -13,7 +13,7 @@ from ..functions.aggregates import correlation
 from ..functions.special import chi2_tail, normal_pdf, normal_quantile, two_sided_normal
 from ..session import cut_lineage
 from .chunks import (
-    PLANT_ORDER, Order, bucket_by_value, exact_quantiles, halo_window, value_ranks, with_scalars,
+    PLANT_ORDER, Order, bucket_by_value, exact_quantiles, halo_window, join_ranked, value_ranks, with_scalars,
 )
 
 
@@ -182,9 +182,10 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     by = list(by)
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     counted = pairs.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))
-    rx = average_ranks(pairs, x, by).select(*by, F.col(x).alias("_x"), F.col("rank").alias("_rx"))
-    ry = average_ranks(pairs, y, by).select(*by, F.col(y).alias("_y"), F.col("rank").alias("_ry"))
-    joined = counted.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
+    rx = average_ranks(pairs, x, by).select(*by, F.col(x).alias("_x"), F.col("rank").alias("_rx"), "n_equal")
+    ry = average_ranks(pairs, y, by).select(*by, F.col(y).alias("_y"), F.col("rank").alias("_ry"), "n_equal")
+    joined = join_ranked(counted, rx, [*by, "_x"], "n_equal").drop("n_equal")
+    joined = join_ranked(joined, ry, [*by, "_y"], "n_equal").drop("n_equal")
     w, a, b = F.col("_w").cast("double"), F.col("_rx"), F.col("_ry")
     # Ranks are centred on (n + 1) / 2, their known mean, so the sums stay well conditioned.
     n_rows = pairs.groupBy(*by).agg(((F.count("*") + 1) / 2).alias("_mid"))

@@ -53,6 +53,31 @@ def test_halo_window_equals_plain_window(spark, size):
     assert rows(chunked, "k", "t", *columns()) == rows(plain, "k", "t", *columns())
 
 
+def test_even_chunks_split_a_burst(spark):
+    """A third of all rows inside one hour of one series."""
+    calm = frame(spark)
+    burst = spark.range(200).select(
+        F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 1_000_003 + F.lit(1709287200000000)).cast("timestamp_ntz").alias("t"),
+        F.col("id").cast("double").alias("v"))
+    df = calm.unionByName(burst)
+    even = Order(keys=("k",), time="t", parts=16)
+    assert even.chunked(df).filter("k = 'hot'").groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 80
+    plain = df.withColumn("_pos", F.row_number().over(Window.partitionBy("k").orderBy("t")) - 1)
+    assert rows(number_rows(df, even), "k", "t", "_pos") == rows(plain, "k", "t", "_pos")
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.withColumns({"prev_x": F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                           "next_x": F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    assert rows(neighbours(df, {"x": F.col("v")}, even), "k", "t", "prev_x", "next_x") == rows(want, "k", "t", "prev_x", "next_x")
+
+
+def test_join_ranked_equals_plain_join(spark):
+    pdf, df = hot_values(spark)
+    ranks = value_ranks(df, "v", ["k"]).select("k", "v", "n_equal", "n_below")
+    got = chunks.join_ranked(df, ranks, ["k", "v"], "n_equal", share=20)
+    assert rows(got, "k", "v", "n_below") == rows(df.join(ranks, ["k", "v"]), "k", "v", "n_below")
+    assert got.count() == len(pdf)
+
+
 def test_running_sum(spark):
     df = frame(spark)
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
