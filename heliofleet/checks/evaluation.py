@@ -58,6 +58,13 @@ def summary_kw(spark, d):
     return E.summary_kw(B.predictions(spark, d).filter("split = 'test'"), B.NOMINAL_KW[B.TEST_PLANT])
 
 
+@check("models_ranked_by_rmse", f"""
+SELECT *, CAST(row_number() OVER (ORDER BY RMSE, model) AS INT) AS position FROM (
+  SELECT model, {m()}, count(*) AS n FROM pred WHERE split = 'test' GROUP BY 1)""", names(""), PREDICTIONS)
+def models_ranked_by_rmse(spark, d):
+    return E.ranked_table(E.metrics(B.predictions(spark, d).filter("split = 'test'")), "RMSE")
+
+
 SCENARIO = """CASE model WHEN 'persistence' THEN 'with_lag' WHEN 'linear' THEN 'without_lag' ELSE 'baseline' END"""
 
 

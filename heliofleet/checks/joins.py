@@ -25,8 +25,8 @@ def sunlit_sql(ts: str) -> str:
            f" - 0.002697 * cos(3 * {g}) + 0.00148 * sin(3 * {g}))")
     half = (f"(degrees(acos(cos(radians(90.833)) / (cos(radians({LATITUDE})) * cos({dec})) - tan(radians({LATITUDE})) * tan({dec}))) * 4)")
     noon = f"({720 - 4 * LONGITUDE} - {eq})"
-    at = f"(epoch_us({ts}) - 3600000000 - epoch_us(date_trunc('day', {ts})))"
-    return f"({at} BETWEEN round(({noon} - {half}) * 60) * 1000000 AND round(({noon} + {half}) * 60) * 1000000)"
+    at = f"((epoch_us({ts}) - 3600000000 - epoch_us(date_trunc('day', {ts}))) / 60000000.0)"
+    return f"(abs({at} - {noon}) <= {half})"
 
 
 def nearest_sql(left: str, right: str, value: str, limit: str = "INTERVAL 15 MINUTE") -> str:

@@ -77,6 +77,11 @@ def first_difference(spark, d):
     return series.first_difference(pu.select(C.PLANT, C.TS, C.TARGET), C.TARGET, "delta").drop(C.TARGET)
 
 
+@check("canonical_order", 'SELECT * FROM readings ORDER BY id_planta, "timestamp"', "radiation power T_ambiente")
+def canonical_order(spark, d):
+    return series.canonical_order(B.readings(spark, d))
+
+
 @check("time_gaps", f"""
 SELECT id_planta, prev_timestamp, "timestamp", date_diff('minute', prev_timestamp, "timestamp") + 0.0::DOUBLE AS gap_minutes
 FROM (SELECT id_planta, lag("timestamp") {O} AS prev_timestamp, "timestamp" FROM readings)

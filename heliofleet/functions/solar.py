@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,14 @@ def localize(ts: Column, zone: str) -> Column:
     return F.when((F.from_utc_timestamp(utc, zone) == naive) & ~twice, utc)
 
 
-def sun_minutes(day: Column, latitude: float, longitude: float) -> tuple[Column, Column]:
-    """Sunrise and sunset in UTC minutes of the day (low-precision solar position series).
+def solar_noon_and_half_day(day: Column, latitude: float, longitude: float) -> tuple[Column, Column]:
+    """Solar noon in UTC minutes of the day, and half the day length in minutes.
 
-    Declination and equation of time come from the fractional year; the sun's centre is taken
-    90.833 degrees from the zenith. Good to about two minutes at temperate latitudes; NULL where
-    the sun does not cross the horizon.
+    Low-precision series in the fractional year for declination and equation of time, with the
+    sun's centre 90.833 degrees from the zenith. Good to about two minutes at temperate
+    latitudes; half the day is NULL where the sun does not cross the horizon.
     """
-    g = (F.dayofyear(day).cast("double") - 0.5) * F.lit(2.0) * F.pi() / F.lit(365.0)
+    g = (F.dayofyear(day).cast("double") - 0.5) * (2 * math.pi / 365.0)
     equation = (
         0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g)
         - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g)
@@ -32,23 +34,23 @@ def sun_minutes(day: Column, latitude: float, longitude: float) -> tuple[Column,
         - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g)
         - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
     )
-    phi = F.radians(F.lit(float(latitude)))
-    cosine = F.cos(F.radians(F.lit(90.833))) / (F.cos(phi) * F.cos(declination)) - F.tan(phi) * F.tan(declination)
-    half_day = F.when(F.abs(cosine) <= 1, F.degrees(F.acos(cosine)) * 4)
-    noon = F.lit(720.0 - 4.0 * longitude) - equation
-    return noon - half_day, noon + half_day
+    phi, horizon = math.radians(latitude), math.radians(90.833)
+    cosine = math.cos(horizon) / math.cos(phi) / F.cos(declination) - math.tan(phi) * F.tan(declination)
+    half_day = F.nanvl(F.degrees(F.acos(cosine)) * 4, F.lit(None).cast("double"))
+    return F.lit(720.0 - 4.0 * longitude) - equation, half_day
 
 
 def sun_times(ts: Column, latitude: float, longitude: float) -> tuple[Column, Column]:
-    """Sunrise and sunset instants (UTC) of the calendar date of ``ts``."""
+    """Sunrise and sunset instants (UTC, whole seconds) of the calendar date of ``ts``."""
     day = F.to_date(ts)
-    rise, set_ = sun_minutes(day, latitude, longitude)
-    midnight = F.unix_micros(day.cast("timestamp"))
-    return tuple(F.timestamp_micros((midnight + F.round(m * 60) * 1_000_000).cast("bigint")) for m in (rise, set_))
+    noon, half_day = solar_noon_and_half_day(day, latitude, longitude)
+    midnight = F.unix_seconds(day.cast("timestamp"))
+    return tuple(F.timestamp_seconds(midnight + F.round(m * 60)) for m in (noon - half_day, noon + half_day))
 
 
 def sunlit(ts: Column, latitude: float, longitude: float, zone: str) -> Column:
     """True when the local reading lies between sunrise and sunset, both included."""
-    rise, set_ = sun_times(ts, latitude, longitude)
-    at = localize(ts, zone)
-    return F.coalesce((at >= rise) & (at <= set_), F.lit(False))
+    day = F.to_date(ts)
+    noon, half_day = solar_noon_and_half_day(day, latitude, longitude)
+    minute = (F.unix_micros(localize(ts, zone)) - F.unix_micros(day.cast("timestamp"))) / 60_000_000
+    return F.coalesce(F.abs(minute - noon) <= half_day, F.lit(False))

@@ -257,6 +257,13 @@ def best_model(table: DataFrame, by: Sequence[str] = (), column: str = "RMSE") -
     )
 
 
+def ranked_table(table: DataFrame, column: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """A result table (a few rows per model) in order of a metric, with the position spelled out."""
+    metric = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    w = Window.partitionBy(*by).orderBy(metric, "model")
+    return table.withColumn("position", F.row_number().over(w)).orderBy(*by, "position")
+
+
 def top_features(importances: DataFrame, k: int = 10, by: str = "horizon_steps") -> DataFrame:
     """The ``k`` largest shares per horizon (one row per feature and horizon goes in)."""
     w = Window.partitionBy(by).orderBy(F.desc("importance"), "feature")

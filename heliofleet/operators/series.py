@@ -92,6 +92,11 @@ def trailing_mean(df: DataFrame, column: str, out: str, window: int = 96, min_ro
     return halo_window(df, {out: guarded_mean(column, 1 - window, 0, min_rows)}, window - 1, order=order)
 
 
+def canonical_order(df: DataFrame, order: Order = PLANT_ORDER) -> DataFrame:
+    """Rows by series and time, for output only; operators never rely on the order of rows."""
+    return df.orderBy(*order.keys, *order.sorting())
+
+
 # ---- duplicates and gaps -------------------------------------------------------------------
 
 def dedupe(df: DataFrame, sequence: Sequence[Column], keep: str = "last",

@@ -197,13 +197,17 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Correlation with its two-sided p-value (normal approximation of Fisher's z, n > 3)."""
+    """Correlation with its two-sided p-value.
+
+    The t statistic with n - 2 degrees is turned into a normal deviate by Wallace's formula.
+    """
     out = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(
         correlation(x, y).alias("pearson_r"), F.count("*").alias("n")
     )
     r = F.col("pearson_r")
-    z = 0.5 * F.ln((1 + r) / (1 - r)) * F.sqrt((F.col("n") - 3).cast("double"))
-    p = F.when((F.col("n") > 3) & (F.abs(r) < 1), two_sided_normal(z)).when(F.abs(r) >= 1, 0.0)
+    degrees = (F.col("n") - 2).cast("double")
+    z = (8 * degrees + 1) / (8 * degrees + 3) * F.sqrt(-degrees * F.ln(1 - r * r))
+    p = F.when((degrees > 0) & (F.abs(r) < 1), two_sided_normal(z)).when((degrees > 0) & r.isNotNull(), 0.0)
     return out.withColumn("p_value", p)
 
 

@@ -80,30 +80,35 @@ def assembled(features: Sequence[str], estimator: Estimator, scale: bool = False
 
 
 def fit_all(train: DataFrame, features: Sequence[str], factories: Mapping[str, Factory], label: str = C.TARGET,
-            scale: bool = False) -> dict[str, PipelineModel]:
-    """Fit each model on the training rows, which are written once and read by every fit."""
-    rows = cut_lineage(train.select(*features, label))
+            scale: bool = False, written: bool = False) -> dict[str, PipelineModel]:
+    """Fit each model on the training rows, which are written once (unless they are already) and read by every fit."""
+    rows = train.select(*features, label)
+    rows = rows if written else cut_lineage(rows)
     return {name: assembled(features, make(rows), scale).fit(rows) for name, make in factories.items()}
 
 
 def predict_all(df: DataFrame, models: Mapping[str, PipelineModel], keep: Sequence[str], label: str = C.TARGET) -> DataFrame:
-    """Every model's predictions stacked: ``keep``, ``model``, ``y_true``, ``y_pred``."""
-    out = None
-    for name, model in models.items():
-        part = model.transform(df).select(*keep, F.lit(name).alias("model"), F.col(label).alias("y_true"), "y_pred")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """Every model's predictions stacked: ``keep``, ``model``, ``y_true``, ``y_pred``. One pass over the rows."""
+    if not models:
         raise ValueError("no models")
-    return out
+    out, wanted = df, list(df.columns)
+    for i, model in enumerate(models.values()):
+        out = model.transform(out).withColumnRenamed("y_pred", f"_y{i}").select(*wanted, *[f"_y{j}" for j in range(i)], f"_y{i}")
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_y{i}").alias("y_pred")) for i, n in enumerate(models)])
+    return out.select(*keep, F.col(label).alias("y_true"), F.inline(pairs)).select(*keep, "model", "y_true", "y_pred")
 
 
 def train_and_evaluate(
     df: DataFrame, features: Sequence[str], factories: Mapping[str, Factory], label: str = C.TARGET
 ) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
-    """Fit on the train split; stacked predictions and one metric table over validation and test."""
-    models = fit_all(df.filter(F.col("split") == "train"), features, factories, label)
-    held_out = df.filter(F.col("split") != "train")
-    stacked = predict_all(held_out, models, [C.PLANT, C.TS, "split", C.RADIATION], label)
+    """Fit on the train split; stacked predictions and one metric table over validation and test.
+
+    The split table is written once, by split; fits and predictions read their part of it.
+    """
+    keep = [C.PLANT, C.TS, "split", C.RADIATION]
+    rows = cut_lineage(df.select(*dict.fromkeys([*keep, *features, label])), ("split",))
+    models = fit_all(rows.filter(F.col("split") == "train"), features, factories, label, written=True)
+    stacked = predict_all(rows.filter(F.col("split") != "train"), models, keep, label)
     return models, stacked, evaluate.metrics(stacked, ("split", "model"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return own
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
     For results that several passes read. A table instead of an RDD checkpoint keeps the scan
     columnar and pruned, and survives the loss of any executor.
     """
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

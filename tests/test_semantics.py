@@ -243,6 +243,33 @@ def test_spearman_and_pearson(spark):
     assert p["pearson_r"] == pytest.approx(pdf["e"].corr(pdf["d"]), abs=1e-9) and p["p_value"] < 1e-10
 
 
+@pytest.mark.parametrize("n,noise", [(12, 2.0), (60, 6.0)])
+def test_pearson_p_value_is_the_t_tail(spark, n, noise):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n)
+    y = x + noise * rng.normal(size=n)
+    got = stats.pearson(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "x", "y").first()
+    r, v = got["pearson_r"], n - 2
+    t = abs(r) * math.sqrt(v / (1 - r * r))
+    grid = np.linspace(0, t, 20001)
+    density = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi) * (1 + grid**2 / v) ** (-(v + 1) / 2)
+    inside = float(((density[1:] + density[:-1]) / 2 * np.diff(grid)).sum())
+    assert got["p_value"] == pytest.approx(1 - 2 * inside, abs=2e-3)
+
+
+def test_whole_diagnostics_plan(spark):
+    from heliofleet.plans.diagnostics import residual_diagnostics, residual_table
+
+    rng = np.random.default_rng(2)
+    n = 400
+    y = np.abs(rng.normal(0.5, 0.2, n))
+    pdf = pd.DataFrame({"id_planta": "p", "timestamp": pd.date_range("2023-11-25", periods=n, freq="15min"), "y_true": y,
+                        "y_pred": y + rng.normal(0, 0.05, n), "radiation": y * 900, "T_ambiente": rng.normal(15, 4, n).round(1)})
+    rows = spark.createDataFrame(pdf).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    for name, table in residual_diagnostics(residual_table(rows, 10.0)).items():
+        assert table.count() > 0 or name == "kruskal_wallis", name
+
+
 def test_kruskal_with_ties(spark):
     pdf, df = sample(spark)
     r = pdf["d"].rank()
