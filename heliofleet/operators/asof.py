@@ -35,7 +35,7 @@ def asof_nearest(
         right.select(*by, on, *values).withColumn(_SIDE, F.lit(0)), allowMissingColumns=True
     )
     packed = F.when(F.col(_SIDE) == 0, F.struct(micros(F.col(on)).alias("t"), *values))
-    swept = neighbours(stacked, {"r": packed}, Order(tuple(by), on, (_SIDE,), chunk_seconds, parts)).filter(F.col(_SIDE) == 1)
+    swept = neighbours(stacked, {"r": packed}, Order(tuple(by), on, (_SIDE,), chunk_seconds, parts), unique_times=True).filter(F.col(_SIDE) == 1)
     t, limit = micros(F.col(on)), F.lit(tolerance_seconds * 1_000_000)
     back, ahead = t - F.col("prev_r.t"), F.col("next_r.t") - t
     near_back = back.isNotNull() & (back <= limit)

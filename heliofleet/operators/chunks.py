@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import contracts as C
 
@@ -165,31 +166,50 @@ def running_sum(
     )
 
 
+def _edge(name: str, fields: Sequence[str], pick: Callable[[Column, Column], Column], key: Column, out: str) -> list[Column]:
+    """Parts of a chunk's first or last value, field by field: primitive buffers stay in a hash aggregate."""
+    present = F.when(F.col(f"_v_{name}").isNotNull(), key)
+    if not fields:
+        return [pick(F.col(f"_v_{name}"), present).alias(out)]
+    return [pick(F.col(f"_v_{name}.{f}"), present).alias(f"{out}_{i}") for i, f in enumerate(fields)]
+
+
 def neighbours(
-    df: DataFrame, values: Mapping[str, Column], order: Order = PLANT_ORDER, chunk: str | None = None
+    df: DataFrame, values: Mapping[str, Column], order: Order = PLANT_ORDER, chunk: str | None = None,
+    unique_times: bool = False,
 ) -> DataFrame:
     """``prev_<name>`` and ``next_<name>``: nearest non-NULL value at or before / at or after a row.
 
     The look-ahead is a look-back over the reversed order, so both frames grow row by row
     (a frame that ends at the end of the partition would be rescanned for every row). Values that
-    lie in another chunk come from the per-chunk edges.
+    lie in another chunk come from the per-chunk edges. A struct value must have a first field
+    that is never NULL. ``unique_times`` says that no two values of a series share a timestamp,
+    so that tie-breakers do not matter for them.
     """
     keys = list(order.keys)
     name = chunk or _CHUNK
-    based = (df if chunk else order.chunked(df)).withColumns(
-        {f"_v_{n}": c for n, c in values.items()}
-    )
-    rank = F.struct(*[F.col(c) for c in (order.time, *order.ties)])
+    based = (df if chunk else order.chunked(df)).withColumns({f"_v_{n}": c for n, c in values.items()})
+    kinds = {n: based.schema[f"_v_{n}"].dataType for n in values}
+    fields = {n: kinds[n].names if isinstance(kinds[n], T.StructType) else [] for n in values}
+    at = micros(F.col(order.time))
+    key = at if unique_times or not order.ties else F.struct(at, *[F.col(c) for c in order.ties])
     edges = based.groupBy(*keys, name).agg(
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_l_{n}") for n in values],
-        *[F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_f_{n}") for n in values],
+        *[c for n in values for c in _edge(n, fields[n], F.max_by, key, f"_l_{n}")],
+        *[c for n in values for c in _edge(n, fields[n], F.min_by, key, f"_f_{n}")],
     )
+
+    def whole(n: str, side: str) -> Column:
+        if not fields[n]:
+            return F.col(f"{side}_{n}")
+        built = F.struct(*[F.col(f"{side}_{n}_{i}").alias(f) for i, f in enumerate(fields[n])])
+        return F.when(F.col(f"{side}_{n}_0").isNotNull(), built)
+
     back = Window.partitionBy(*keys).orderBy(F.col(name)).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*keys).orderBy(F.col(name).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys, name,
-        *[F.last(f"_l_{n}", ignorenulls=True).over(back).alias(f"_cp_{n}") for n in values],
-        *[F.last(f"_f_{n}", ignorenulls=True).over(ahead).alias(f"_cn_{n}") for n in values],
+        *[F.last(whole(n, "_l"), ignorenulls=True).over(back).alias(f"_cp_{n}") for n in values],
+        *[F.last(whole(n, "_f"), ignorenulls=True).over(ahead).alias(f"_cn_{n}") for n in values],
     )
     part = Window.partitionBy(*keys, name)
     up = part.orderBy(*order.sorting()).rowsBetween(Window.unboundedPreceding, 0)

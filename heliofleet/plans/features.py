@@ -34,13 +34,7 @@ def build_features(
     input do not count.
     """
     C.require_columns(df, (*C.REQUIRED_COLUMNS, C.TARGET, C.PLANT))
-    ts, radiation = F.col(C.TS), F.col(C.RADIATION)
-    out = df.withColumns(S.calendar(ts) | S.cyclic_calendar(ts))
-    if config.add_daylight_flag:
-        out = out.withColumn("is_daylight", S.daylight(radiation))
-    if config.add_interactions:
-        out = out.withColumns(S.interactions(radiation, F.col(C.TEMPERATURE)))
-    out = out.withColumns(S.one_hot(S.regime(radiation), C.REGIMES, "regime"))
+    ts, radiation, out = F.col(C.TS), F.col(C.RADIATION), df
     memory = (
         lag_columns(C.TARGET, config.lag_steps_power)
         | lag_columns(C.RADIATION, config.lag_steps_radiation)
@@ -51,7 +45,13 @@ def build_features(
         reach = max(*config.lag_steps_power, *config.lag_steps_radiation, *config.rolling_windows_power,
                     *config.rolling_windows_radiation, 0, 0)
         out = halo_window(out, memory, reach, order=order)
-    out = add_deltas(out)
+    # Columns of the row itself come after the windows, so that the shuffles stay narrow.
+    out = add_deltas(out).withColumns(S.calendar(ts) | S.cyclic_calendar(ts))
+    if config.add_daylight_flag:
+        out = out.withColumn("is_daylight", S.daylight(radiation))
+    if config.add_interactions:
+        out = out.withColumns(S.interactions(radiation, F.col(C.TEMPERATURE)))
+    out = out.withColumns(S.one_hot(S.regime(radiation), C.REGIMES, "regime"))
     if config.one_hot_encode_plant:
         names = plants if plants is not None else plant_names(df)
         out = out.withColumns(S.one_hot(F.col(C.PLANT), sorted(names), "plant"))
