@@ -45,7 +45,10 @@ def build_features(
         reach = max(*config.lag_steps_power, *config.lag_steps_radiation, *config.rolling_windows_power,
                     *config.rolling_windows_radiation, 0, 0)
         out = halo_window(out, memory, reach, order=order)
-    # Columns of the row itself come after the windows, so that the shuffles stay narrow.
+    if config.drop_na_after_features:
+        out = out.dropna("any", subset=[C.PLANT, *C.REQUIRED_COLUMNS, C.TARGET, *memory])
+    # Columns of the row itself come after the windows, so that the shuffles stay narrow. They are
+    # complete wherever the columns above are.
     out = add_deltas(out).withColumns(S.calendar(ts) | S.cyclic_calendar(ts))
     if config.add_daylight_flag:
         out = out.withColumn("is_daylight", S.daylight(radiation))
@@ -55,9 +58,6 @@ def build_features(
     if config.one_hot_encode_plant:
         names = plants if plants is not None else plant_names(df)
         out = out.withColumns(S.one_hot(F.col(C.PLANT), sorted(names), "plant"))
-    if config.drop_na_after_features:
-        created = [c for c in out.columns if c not in df.columns]
-        out = out.dropna("any", subset=[C.PLANT, *C.REQUIRED_COLUMNS, C.TARGET, *created])
     return out
 
 
