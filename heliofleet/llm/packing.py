@@ -1,9 +1,9 @@
 """Best-fit packing by sum of squares.
 
 Texts become token ids with the end id 0; a document longer than a sequence is cut into full pieces, a shorter first piece
-taking the rest. A piece is placed in the open sequence (or a new one) for which the sum, over all residual gaps, of the squared
-number of open sequences with that gap becomes smallest; ties go to the smallest gap. Pieces come in falling length, so short
-ones are left to fill the gaps.
+taking the rest. A piece is placed in the open sequence for which the sum, over all residual gaps, of the squared number of
+open sequences with that gap becomes smallest; ties go to the smallest gap. Pieces come in falling length, so short ones are left
+to fill the gaps, and a new sequence is opened only if no open one has room: opening by the same rule took up to 4 % more.
 
 Scale: only (document, piece, start, length, checksum) rows are shuffled, hashed into bins of about ``GROUP`` pieces, each
 packed by one task on its own; a bin ends with a few unfilled sequences, under 0.1 % of its own. Bins are even whatever the
@@ -64,7 +64,7 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
         cost[0] = 1 - 2 * fit[0]  # the sequence becomes full and leaves
         cost[fit == 0] = np.iinfo(np.int64).max
         best = int(cost.argmin()) if len(cost) else 0
-        if len(cost) and fit[best] and cost[best] <= 2 * gaps[capacity - size] + 1:
+        if len(cost) and fit[best]:
             gap = best + size
             bin_ = by_gap[gap].pop()
             gaps[gap] -= 1
