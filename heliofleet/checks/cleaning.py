@@ -174,10 +174,10 @@ def outlier_list(spark, d):
 
 
 @check("monthly_correlation", """
-SELECT id_planta, strftime("timestamp", '%Y-%m') AS Mes, corr(radiation, power) AS Correlacion, corr(radiation, power) < 0.85 AS low
-FROM daily WHERE radiation IS NOT NULL AND power IS NOT NULL GROUP BY 1, 2 HAVING NOT isnan(corr(radiation, power))""", "Correlacion", DAILY)
+SELECT *, Correlacion < 0.85 AS low FROM (SELECT id_planta, strftime("timestamp", '%Y-%m') AS Mes,
+  CASE WHEN NOT isnan(corr(radiation, power)) THEN corr(radiation, power) END AS Correlacion FROM daily GROUP BY 1, 2)""", "Correlacion", DAILY)
 def monthly_correlation(spark, d):
-    return quality.monthly_correlation(B.daily(spark, d)).filter(F.col("Correlacion").isNotNull())
+    return quality.monthly_correlation(B.daily(spark, d))
 
 
 @check("validity_report", " UNION ALL ".join(f"""

@@ -47,12 +47,11 @@ def station_text(spark, d):
 
 @check("station_day_priority", """
 WITH r AS (SELECT *, list_position(['ST3', 'ST1', 'ST5'], station) AS prio FROM stations
-  WHERE station IN ('ST3', 'ST1', 'ST5') AND hour(ts) >= 20)
+  WHERE station IN ('ST3', 'ST1', 'ST5'))
 SELECT station, "Date", "Time", "Solar", "Temperature", seq, ts FROM r
 WHERE prio = (SELECT min(prio) FROM r x WHERE x."Date" = r."Date")""", "", STATIONS)
 def station_priority(spark, d):
-    evening = B.stations(spark, d).filter(F.hour("ts") >= 20)
-    return asof.best_station_per_day(evening, ["ST3", "ST1", "ST5"])
+    return asof.best_station_per_day(B.stations(spark, d), ["ST3", "ST1", "ST5"])
 
 
 @check("missing_station_days", """

@@ -35,12 +35,6 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(c) < float("inf"), c)
 
 
-def finite_columns(df: DataFrame) -> DataFrame:
-    """``finite`` over every floating column."""
-    floats = {n for n, t in df.dtypes if t in ("double", "float")}
-    return df.select(*[finite(F.col(n)).alias(n) if n in floats else F.col(n) for n in df.columns])
-
-
 def strip_suffix_unit(c: Column, unit: str = " w/m²") -> Column:
     return F.trim(F.replace(c, F.lit(unit), F.lit("")))
 

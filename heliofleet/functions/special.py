@@ -70,6 +70,21 @@ def chi2_tail(x: Column, df: int) -> Column:
     return F.least(total, F.lit(1.0))
 
 
+def chi2_tail_of(x: Column, df: Column) -> Column:
+    """The same for degrees of freedom in a column, without an upper limit; sums in logarithms so that nothing underflows early."""
+    half = (x / 2).cast("double")
+    odd = df % 2 == 1
+    first = F.when(odd, -half + 0.5 * F.ln(half) - math.lgamma(1.5)).otherwise(-half)
+    begin = F.when(odd, erfc(F.sqrt(half))).otherwise(F.lit(0.0))
+    terms = F.when(odd, (df - 1) / 2).otherwise(df / 2).cast("int")
+    steps = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    total = F.aggregate(
+        steps, F.struct(first.alias("log"), begin.alias("sum")),
+        lambda s, k: F.struct((s["log"] + F.ln(half) - F.ln(k + shift)).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum")))
+    return F.when(half <= 0, 1.0).otherwise(F.least(total["sum"], F.lit(1.0)))
+
+
 def two_sided_normal(z: Column) -> Column:
     """P(|Z| > |z|) for a standard normal Z."""
     return erfc(F.abs(z) / math.sqrt(2))

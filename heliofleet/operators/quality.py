@@ -23,19 +23,18 @@ def _day() -> Column:
 # ---- target --------------------------------------------------------------------------------
 
 def add_nominal_power(
-    df: DataFrame, nominal_kw: Mapping[str, float], power: str = C.POWER, out: str = C.TARGET, check: bool = False
+    df: DataFrame, nominal_kw: Mapping[str, float], power: str = C.POWER, out: str = C.TARGET, check: bool = True
 ) -> DataFrame:
     """Nominal power and power per unit (W / 1000 / nominal kW).
 
-    The mapping is configuration, one number per plant, and travels as a literal map. ``check``
-    runs one job that fails on plants without an entry.
+    The mapping is configuration, one number per plant, and travels as a literal map. A plant without
+    an entry fails the plan when its row is computed; with ``check=False`` its values are NULL.
     """
-    if check:
-        unknown = df.select(C.PLANT).filter(~F.col(C.PLANT).isin(*nominal_kw)).distinct().limit(20).collect()
-        if unknown:
-            raise ValueError(f"no nominal power for: {sorted(r[0] for r in unknown)}")
     entries = [F.lit(x) for kv in nominal_kw.items() for x in kv]
     nominal = F.try_element_at(F.create_map(*entries), F.col(C.PLANT)) if entries else F.lit(None).cast("double")
+    if check:
+        unknown = F.concat(F.lit("no nominal power for: "), F.coalesce(F.col(C.PLANT), F.lit("NULL")))
+        nominal = F.coalesce(nominal, F.raise_error(unknown).cast("double"))
     return df.withColumn(C.NOMINAL, nominal).withColumn(
         out, F.try_divide(F.col(power) / 1000, F.col(C.NOMINAL))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions.aggregates import correlation
-from ..functions.special import chi2_tail, normal_pdf, normal_quantile, two_sided_normal
+from ..functions.special import chi2_tail, chi2_tail_of, normal_pdf, normal_quantile, two_sided_normal
 from ..session import cut_lineage
 from .chunks import (
     PLANT_ORDER, Order, bucket_by_value, exact_quantiles, halo_window, join_ranked, value_ranks, with_scalars,
@@ -21,19 +21,25 @@ def _attach(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(summary, list(by)) if by else with_scalars(df, summary)
 
 
+def _spread(bounds: DataFrame, low: str, high: str) -> DataFrame:
+    """A range of one value becomes half a unit to either side."""
+    half = F.when(F.col(high) > F.col(low), 0.0).otherwise(0.5)
+    return bounds.withColumns({low: F.col(low) - half, high: F.col(high) + half})
+
+
 # ---- distribution --------------------------------------------------------------------------
 
 def histogram(df: DataFrame, column: str, bins: int = 80, by: Sequence[str] = ()) -> DataFrame:
     """Equal bins over [min, max] of each group, last bin right-closed; count and density.
 
-    Rows are counted per bin before anything but the range is joined.
+    A group of one constant value has its bins over half a unit to either side of it.
     """
     by = list(by)
     v = F.col(column)
-    bounds = df.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(v).alias("_n"))
+    bounds = _spread(df.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(v).alias("_n")), "_lo", "_hi")
     width = (F.col("_hi") - F.col("_lo")) / bins
     index = F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    binned = _attach(df.filter(v.isNotNull()), bounds.filter(F.col("_hi") > F.col("_lo")), by)
+    binned = _attach(df.filter(v.isNotNull()), bounds, by)
     counts = binned.groupBy(*by, index.alias("bin"), "_lo", "_hi", "_n").agg(F.count("*").alias("n"))
     return counts.select(
         *by, "bin", (F.col("_lo") + F.col("bin") * width).alias("left"), "n",
@@ -48,7 +54,8 @@ def hexagon_counts(df: DataFrame, x: str, y: str, cells: int = 40, by: Sequence[
     ny = int(cells / math.sqrt(3))
     bounds = rows.groupBy(*by).agg(
         F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1")
-    ).filter((F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0")))
+    )
+    bounds = _spread(_spread(bounds, "_x0", "_x1"), "_y0", "_y1")
     sx, sy = (F.col("_x1") - F.col("_x0")) / cells, (F.col("_y1") - F.col("_y0")) / ny
     u, v = (F.col(x) - F.col("_x0")) / sx, (F.col(y) - F.col("_y0")) / sy
     i1, j1, i2, j2 = F.round(u), F.round(v), F.floor(u), F.floor(v)
@@ -110,18 +117,18 @@ def kolmogorov_smirnov(df: DataFrame, column: str, by: Sequence[str] = ()) -> Da
     by = list(by)
     ranks = value_ranks(df, column, by)
     fit = df.groupBy(*by).agg(F.avg(column).alias("_mu"), F.stddev_pop(column).alias("_sd"))
-    z = (F.col(column) - F.col("_mu")) / F.col("_sd")
+    z = F.try_divide(F.col(column) - F.col("_mu"), F.col("_sd"))  # a constant group keeps its row, without a statistic
     tail = two_sided_normal(z) / 2
     cdf = F.when(z < 0, tail).otherwise(1 - tail)
     n = F.col("n_total")
-    gap = F.greatest(F.abs((F.col("n_below") + F.col("n_equal")) / n - cdf), F.abs(cdf - F.col("n_below") / n))
-    d = _attach(ranks, fit.filter(F.col("_sd") > 0), by).groupBy(*by).agg(
+    gap = F.when(z.isNotNull(), F.greatest(F.abs((F.col("n_below") + F.col("n_equal")) / n - cdf), F.abs(cdf - F.col("n_below") / n)))
+    d = _attach(ranks, fit, by).groupBy(*by).agg(
         F.max(gap).alias("statistic"), F.max(n).alias("n")
     )
     root = F.sqrt(F.col("n").cast("double"))
     lam = (root + 0.12 + 0.11 / root) * F.col("statistic")
     series = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 41)), F.lit(0.0))
-    p = F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    p = F.when(lam < 0.2, 1.0).when(lam.isNull(), F.lit(None)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
     return d.withColumn("p_value", p)
 
 
@@ -241,10 +248,7 @@ def kruskal_wallis(df: DataFrame, column: str, group: str, by: Sequence[str] = (
     ).filter(F.col("k") >= 2)
     h = F.try_divide(12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.try_divide(F.col("_ties"), n * n * n - n))
     out = _attach(total, ties, by).select(*by, "n", "k", h.alias("H"))
-    p = F.when(F.lit(False), F.lit(None).cast("double"))
-    for k in range(2, 13):
-        p = p.when(F.col("k") == k, chi2_tail(F.col("H"), k - 1))
-    return out.withColumn("p_value", p)
+    return out.withColumn("p_value", chi2_tail_of(F.col("H"), F.col("k") - 1))
 
 
 # ---- dependence ----------------------------------------------------------------------------
@@ -266,8 +270,8 @@ def autocorrelation(df: DataFrame, column: str, lags: int = 48, order: Order = P
     )
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_s{k}").alias("_s")) for k in range(lags + 1)])
     long = sums.select(*keys, "n", F.col("_s0").alias("_c0"), F.inline(pairs))
-    return long.filter(F.col("_c0") > 0).select(
-        *keys, "lag", "n", (F.col("_s") / F.col("_c0")).alias("acf"),
+    return long.select(  # a constant series has no correlation, but keeps its rows
+        *keys, "lag", "n", F.try_divide("_s", "_c0").alias("acf"),
         (1.959963984540054 / F.sqrt(F.col("n").cast("double"))).alias("band"),
     )
 

@@ -74,10 +74,24 @@ def hourly_temperature(weather: DataFrame) -> DataFrame:
     return series.resample_up(weather, [C.TEMPERATURE], order=SITE)
 
 
-def attach_temperature(df: DataFrame, weather: DataFrame, interpolate: Sequence[str] = (C.TEMPERATURE,)) -> DataFrame:
-    """Left join on the time key; what stays empty is interpolated over the plant's own rows."""
-    joined = df.drop(C.TEMPERATURE).join(weather.select(C.TS, C.TEMPERATURE), C.TS, "left")
-    return series.interpolate(joined, list(interpolate))
+def attach_temperature(
+    df: DataFrame, weather: DataFrame, interpolate: Sequence[str] = (C.TEMPERATURE,), sites: DataFrame | None = None
+) -> DataFrame:
+    """Left join on site and time; what stays empty is interpolated over the plant's own rows.
+
+    ``sites`` maps each plant to its weather site. Without it the weather must be of one site: a time
+    that two sites report fails the plan.
+    """
+    bare = df.drop(C.TEMPERATURE)
+    if sites is not None:
+        placed = bare.join(sites.select(C.PLANT, "site"), C.PLANT, "left")
+        joined = placed.join(weather.select("site", C.TS, C.TEMPERATURE), ["site", C.TS], "left").drop("site")
+        return series.interpolate(joined, list(interpolate))
+    if "site" in weather.columns:
+        several = F.raise_error(F.lit("weather of several sites needs a table of plants and sites")).cast("double")
+        weather = weather.groupBy(C.TS).agg(
+            F.when(F.min("site") == F.max("site"), F.max(C.TEMPERATURE)).otherwise(several).alias(C.TEMPERATURE))
+    return series.interpolate(bare.join(weather.select(C.TS, C.TEMPERATURE), C.TS, "left"), list(interpolate))
 
 
 def station_temperature(observations: DataFrame, priority: Sequence[str], sequence: Sequence[str]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,25 +26,26 @@ def build_session(app: str = "heliofleet", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only in local mode without one."""
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; none in a local session that names none."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="heliofleet-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    return None
 
 
 def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
     For results that several passes read. A table instead of an RDD checkpoint keeps the scan
-    columnar and pruned, and survives the loss of any executor.
+    columnar and pruned, and survives the loss of any executor. A local session without the folder keeps it in Spark's storage.
     """
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    folder = checkpoint_folder(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,19 +31,20 @@ def _with_row_order(df: DataFrame) -> DataFrame:
 
 def scan_exports(
     spark: SparkSession, path: str, power_headers: Sequence[str], formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm"),
-    max_columns: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
     """Year/month/day CSV exports whose headers vary from file to file: ``(readings, quarantine)``.
 
     One scan without header. The row holding the time header is its file's header, and cells are
     picked by their position in it; the first of ``power_headers`` that is present names the power
-    column. A file is set aside as a whole if a header is missing or a timestamp is unreadable.
+    column. A file is set aside as a whole if a header is missing or a timestamp is unreadable. Lines
+    are read whole and cut at commas outside quotes, so a file may be of any width.
     """
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    raw = spark.read.schema(wide).option("header", "false").option("encoding", "iso-8859-1").option(
-        "mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
+    raw = spark.read.schema("line string").option("header", "false").option("encoding", "iso-8859-1").option(
+        "sep", "\u0001").option("quote", "").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
     rows = _with_row_order(raw).select(
-        *_ROW_ORDER, F.array(*[F.trim(f"c{i}") for i in range(max_columns)]).alias("cells")
+        *_ROW_ORDER, F.transform(
+            F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1),
+            lambda c: F.nullif(F.trim(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")), F.lit(""))).alias("cells")
     ).withColumn("_header", F.coalesce(F.array_contains("cells", TIME_HEADER), F.lit(False)))
 
     def position(name: str) -> Column:

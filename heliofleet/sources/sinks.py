@@ -23,9 +23,12 @@ def write_csv(df: DataFrame, path: str, digits: int = 2, mode: str = "overwrite"
 
 
 def materialise(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Run a stage only if its output is not there yet, and read it back."""
-    write_table(df, path, partition_by, mode="ignore")
-    return df.sparkSession.read.parquet(path)
+    """Run a stage only if its output is complete (has the committer's ``_SUCCESS``), and read it back."""
+    spark = df.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_table(df, path, partition_by)
+    return spark.read.parquet(path)
 
 
 def write_feature_list(spark: SparkSession, names: Sequence[str], path: str, **metadata: str) -> None:

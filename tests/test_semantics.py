@@ -86,8 +86,9 @@ def test_empty_and_stuck_days(spark):
 
 def test_unknown_plant_is_an_error(spark):
     df = spark.createDataFrame([("x", at("2024-01-01"), 1.0, 1.0, 1.0)], R)
-    with pytest.raises(ValueError, match="x"):
-        quality.add_nominal_power(df, {"p": 10.0}, check=True)
+    with pytest.raises(Exception, match="no nominal power for: x"):
+        quality.add_nominal_power(df, {"p": 10.0}).collect()
+    assert quality.add_nominal_power(df, {"p": 10.0}, check=False).first()["power_pu"] is None
     got = quality.add_nominal_power(df, {"x": 10.0}).first()
     assert got["power_pu"] == pytest.approx(1 / 1000 / 10)
 
@@ -309,7 +310,7 @@ def test_constant_series_give_null_not_an_error(spark):
     assert stats.driver_correlations(flat, "power", ("radiation",)).first()["pearson_r"] is None
     assert stats.kruskal_wallis(flat, "power", "g").first()["H"] is None
     assert stats.qq_fit(flat, "power").first()["r"] is None
-    assert stats.autocorrelation(flat, "power", 3).count() == 0
+    assert [r["acf"] for r in stats.autocorrelation(df, "power", 3).collect()] == [None] * 4
     assert stats.histogram(flat, "power").count() == 0
     assert stats.kolmogorov_smirnov(flat, "power").first()["statistic"] is None
     assert {r["pdf"] for r in stats.normal_curve(flat, "power", 3).collect()} == {None}
