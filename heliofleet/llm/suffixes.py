@@ -171,6 +171,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     kept = with_text_columns(docs, _suffixes, pair, ["doc"]).select("doc", F.explode(F.arrays_zip("places", "keys")).alias("s"))
     kept = stored(kept.select("doc", F.col("s.places").alias("place"), F.col("s.keys").alias("key")), "suffixes")
     shared = kept.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("key")
+    shared = stored(shared, "shared")  # on its own, so that the join below may split the suffixes of a hot key
     wanted = kept.join(shared, "key").groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places"))
     texts = docs.join(wanted, "doc").dropDuplicates(["doc"])
     contexts = with_text_columns(texts, _contexts, _CONTEXT, ["doc", "doc_id", "places"])
