@@ -309,8 +309,9 @@ def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0
     # Fifty rows per group; without groups the grid is those fifty rows and is broadcast.
     far = spots.join(grid, by) if by else spots.crossJoin(F.broadcast(grid))
     near = nearest_distance(far.select(*by, "i", "_n", distance.alias("_d"), "_w"), [*by, "i"], frac)
-    local = far.join(near, [*by, "i"]).filter(distance < F.col("_h"))
-    u = distance / F.col("_h")
+    tied = (F.col("_h") == 0) & (distance == 0)  # so many rows at the point itself that the trend is their mean
+    local = far.join(near, [*by, "i"]).filter((distance < F.col("_h")) | tied)
+    u = F.when(F.col("_h") > 0, distance / F.col("_h")).otherwise(0.0)
     tri = F.pow(1 - u * u * u, 3)
     dx = F.col("_x") - F.col("x")
     k = tri * F.col("_w")

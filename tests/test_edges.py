@@ -67,3 +67,9 @@ def test_half_written_stage_is_done_again(spark, tmp_path):
     os.remove(f"{path}/_SUCCESS")
     os.remove(next(f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-")))
     assert sinks.materialise(rows, path).count() == 10
+
+
+def test_lowess_on_tied_values_keeps_every_point(spark):
+    rows = spark.range(400).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") / 4).alias("x"), (F.col("id") % 10).cast("double").alias("y"))
+    got = {r["i"]: r["trend"] for r in stats.lowess_grid(rows, "x", "y").collect()}
+    assert len(got) == 50 and got[0] == pytest.approx(4.0)
