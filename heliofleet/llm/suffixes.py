@@ -10,7 +10,8 @@ continuation; a match shorter to the right but longer to the left than both neig
 
 Scale: about one suffix in 17 words is kept, as (hash, document, place). Texts are read a second time only for documents with
 repeated suffixes. Sorting is by range over key, context and document, so a passage that a third of all documents share is
-spread over tasks; the rows at the borders of tasks are compared afterwards. Nothing compares all pairs of a group.
+spread over tasks; the first and the last run of each task (one key in one document) are compared afterwards, with the rows next
+to them. Nothing compares all pairs of a group.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as written. Null, empty and shorter texts have no passages. Rows that repeat both doc_id and text
 are one document. Repeats inside one document alone do not count.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +82,9 @@ def _contexts(rows, data, bounds):
 _CONTEXT = T.StructType([T.StructField("each", T.ArrayType(T.StructType([
     T.StructField("place", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("right", T.BinaryType()),
     T.StructField("left", T.BinaryType())])))])
-_OUT = "doc long, doc_id long, other_id long, begin int, end int, edge boolean, part int, key long, right binary, left binary, place int"
+_OUT = "doc long, doc_id long, other_id long, begin int, end int, edge boolean, key long, right binary, left binary, place int"
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_SUFFIX = ["doc", "doc_id", "key", "right", "left", "place"]
 
 
 def _words_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +95,21 @@ def _words_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _runs(rows: pa.Table) -> np.ndarray:
+    """Where a run of one key and document begins."""
+    doc, key = rows.column("doc").to_numpy(), rows.column("key").to_numpy()
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    return np.flatnonzero(new)
+
+
 def matches(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted suffixes: which have a match with the nearest other document before or after, its begin and end, and the other row."""
     n = rows.num_rows
     doc, key, place = (rows.column(c).to_numpy() for c in ("doc", "key", "place"))
     sides = [_words_matrix(rows.column(c).combine_chunks()) for c in ("right", "left")]
-    run = np.ones(n, bool)
-    run[1:] = doc[1:] != doc[:-1]
+    run = np.zeros(n, bool)
+    run[_runs(rows)] = True
     start = np.maximum.accumulate(np.where(run, np.arange(n), 0))
     stop = np.append(np.flatnonzero(run)[1:], n)[np.cumsum(run) - 1]
     begin, end, other, found = place.astype(np.int64), place.astype(np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
@@ -119,49 +129,39 @@ def matches(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _compare(batches):
-    part, last = TaskContext.get().partitionId(), None
+    """Matches of sorted suffixes, and the borders of the task: its first run and the row after, its last run and the row before."""
+    held, head = [], True
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        edges = [rows.slice(0, 1)] if last is None else []
-        if last is not None:
-            rows = pa.concat_tables([last, rows])
-        yield from _found(rows, part)
-        keep = rows.slice(rows.num_rows - 1, 1)
-        for e in edges:
-            yield _edge(e, part, 0)
-        last = keep
-    if last is not None:
-        yield _edge(last, part, 1)
-
-
-def _edge(row: pa.Table, part: int, side: int) -> pa.RecordBatch:
-    none = pa.nulls(1, pa.int32())
-    return pa.RecordBatch.from_arrays([
-        *(row.column(c).combine_chunks() for c in ("doc", "doc_id")), pa.nulls(1, pa.int64()), none, none, pa.array([True]), pa.array([2 * part + side], pa.int32()),
-        *(row.column(c).combine_chunks() for c in ("key", "right", "left", "place"))], names=[x.split()[0] for x in _OUT.split(", ")])
-
-
-def _found(rows: pa.Table, part: int):
+        held.append(pa.Table.from_batches([batch]))
+        if len(_runs(held[-1])) > 1:
+            rows = pa.concat_tables(held)
+            runs = _runs(rows)
+            yield from _found(rows)
+            if head:
+                yield _edges(rows.slice(0, runs[1] + 1))
+            held, head = [rows.slice(max(0, runs[-1] - 1))], False
+    rows = pa.concat_tables(held) if held else None
+    if rows:
+        runs = _runs(rows)
+        yield from _found(rows)
+        yield _edges(rows if head else rows.slice(max(0, runs[-1] - 1)))
+
+
+def _edges(rows: pa.Table) -> pa.RecordBatch:
+    n, own = rows.num_rows, [rows.column(c).combine_chunks() for c in _SUFFIX]
+    none = pa.nulls(n, pa.int32())
+    return pa.RecordBatch.from_arrays([*own[:2], pa.nulls(n, pa.int64()), none, none, pa.array([True] * n), *own[2:]], names=_NAMES)
+
+
+def _found(rows: pa.Table):
     found, begin, end, other = matches(rows)
     at = np.flatnonzero(found)
     if len(at):
         ids, n = rows.column("doc_id").combine_chunks(), len(at)
         yield pa.RecordBatch.from_arrays([
             rows.column("doc").combine_chunks().take(pa.array(at)), ids.take(pa.array(at)), ids.take(pa.array(other[at])), pa.array(begin[at].astype(np.int32)),
-            pa.array(end[at].astype(np.int32)), pa.array([False] * n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-            pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=[x.split()[0] for x in _OUT.split(", ")])
-
-
-def _compare_edges(batches):
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        for i in range(rows.num_rows):
-            pair = rows.slice(i, 1)
-            two = pa.concat_tables([pair.select([0, 1, 2, 3, 4, 5]).rename_columns(_SUFFIX), pair.select([6, 7, 8, 9, 10, 11]).rename_columns(_SUFFIX)])
-            yield from _found(two, -1)
-
-
-_SUFFIX = ["doc", "doc_id", "key", "right", "left", "place"]
+            pa.array(end[at].astype(np.int32)), pa.array([False] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+            pa.nulls(n, pa.int32())], names=_NAMES)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -179,10 +179,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     order = ["key", "right", "left", "doc", "place"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = stored(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare, _OUT), "compared")
-    edges = compared.filter("edge").select("part", *_SUFFIX)
-    ahead = Window.orderBy("part")  # two rows a task
-    pairs = edges.select("part", *_SUFFIX, *[F.lead(c).over(ahead).alias(f"{c}2") for c in ("part", *_SUFFIX)]).filter("part % 2 = 1 and part2 is not null")
-    late = pairs.select(*_SUFFIX, *[f"{c}2" for c in _SUFFIX]).mapInArrow(_compare_edges, _OUT)
+    edges = compared.filter("edge").select(*_SUFFIX).repartition(1).sortWithinPartitions(*order)  # two runs a task
+    late = edges.mapInArrow(_compare, _OUT).filter("not edge")
     spans = compared.filter("not edge").union(late).select("doc", "doc_id", "other_id", "begin", "end")
     by_doc = Window.partitionBy("doc").orderBy("begin", "end")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

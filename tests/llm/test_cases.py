@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heliofleet.llm import decontaminate, licenses, lm, neardup, packing, quality, records, secrets, suffixes, topk
@@ -229,3 +230,30 @@ def test_top_k(spark):
     got = topk.top_k(v, v.filter("vec_id % 100 = 0"), chunk=16).collect()
     assert {(r.query_id, r.score, r.vec_id) for r in got if r.query_id} == want
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_suffix_runs_across_batches_and_tasks():
+    """Cut anywhere into tasks and batches, sorted suffixes give the matches that they give in one piece."""
+    rng = np.random.default_rng(3)
+    rows = sorted((int(rng.integers(3)), rng.integers(2, size=34).astype("<u4").tobytes() if rng.random() < 0.3 else bytes(136), b"", int(rng.integers(3)), i)
+                  for i in range(60))
+    whole = pa.table({"doc": [r[3] for r in rows], "doc_id": [r[3] for r in rows], "key": [r[0] for r in rows], "right": [r[1] for r in rows],
+                      "left": [r[2] for r in rows], "place": pa.array([r[4] for r in rows], pa.int32())})
+
+    def spans(out):
+        return {(r["doc"], r["begin"], r["end"]) for r in out if not r["edge"]}
+
+    def compare(table, size):
+        return [r for b in suffixes._compare(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    expected = spans(compare(whole, 100))
+    assert expected
+    for _ in range(30):
+        size, cuts = int(rng.integers(1, 8)), [0, *sorted(rng.choice(np.arange(1, 60), 5, replace=False).tolist()), 60]
+        out = [r for a, b in zip(cuts, cuts[1:], strict=False) for r in compare(whole.slice(a, b - a).combine_chunks(), size)]
+        edges = sorted((r for r in out if r["edge"]), key=lambda r: (r["key"], r["right"], r["left"], r["doc"], r["place"]))
+        late = compare(pa.Table.from_pylist([{c: r[c] for c in suffixes._SUFFIX} for r in edges], schema=whole.schema), size)
+        found = spans(out) | spans(late)
+        best = {}
+        for d, a, b in found:
+            best[d, a] = max(best.get((d, a), 0), b)
+        assert {(d, a, b) for (d, a), b in best.items()} == expected
