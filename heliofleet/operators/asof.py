@@ -23,6 +23,7 @@ def asof_nearest(
 ) -> DataFrame:
     """Each left row gets the closest right row with the same ``by`` values within the tolerance.
 
+    Left rows of one key and time share one lookup, however many there are, and get its values back by join.
     Both sides are stacked and swept in time order inside ``(by, time chunk)``: linear in the rows,
     no row pairs, and a right row beyond the chunk arrives through the per-chunk edges, so neither a
     busy station nor a busy quarter of an hour multiplies anything. The bound is inclusive; of two
@@ -31,7 +32,7 @@ def asof_nearest(
     """
     if set(values) & set(left.columns):
         raise ValueError("value columns already present on the left side")
-    stacked = left.withColumn(_SIDE, F.lit(1)).unionByName(
+    stacked = left.select(*by, on).distinct().withColumn(_SIDE, F.lit(1)).unionByName(
         right.select(*by, on, *values).withColumn(_SIDE, F.lit(0)), allowMissingColumns=True
     )
     packed = F.when(F.col(_SIDE) == 0, F.struct(micros(F.col(on)).alias("t"), *values))
@@ -41,10 +42,13 @@ def asof_nearest(
     near_back = back.isNotNull() & (back <= limit)
     near_ahead = ahead.isNotNull() & (ahead <= limit)
     use_ahead = near_ahead & (~near_back | (ahead < back))
-    return swept.select(
-        *left.columns,
+    keys = [*by, on]
+    found = swept.select(
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)],
         *[F.when(use_ahead, F.col(f"next_r.{v}")).when(near_back, F.col(f"prev_r.{v}")).alias(v) for v in values],
     )
+    same = [left[c].eqNullSafe(found[f"_key{i}"]) for i, c in enumerate(keys)]
+    return left.join(found, same, "left").select(*[left[c] for c in left.columns], *[found[v] for v in values])
 
 
 def parse_station_radiation(raw: DataFrame, sequence: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,6 @@ from ..operators.series import add_horizons, horizon_names
 from ..operators.splits import adapted_split, assign_split, season_windows
 from .features import build_features, feature_columns
 from .models import Factory, feature_importance, fit_all, predict_all, train_and_evaluate
-from .predictors import persistence
 
 KEEP = [C.PLANT, C.TS, C.RADIATION]
 
@@ -32,19 +31,19 @@ def memory_comparison(
 ) -> dict[str, DataFrame]:
     """Models with and without memory features and the last-value baseline on common test rows.
 
-    Rows are matched by plant and timestamp.
+    Rows are matched by plant and timestamp. The baseline is the last-value column of the memory features, so it is
+    scored on exactly the rows of the models.
     """
-    stacks = []
+    stacks, naive = [], None
     for scenario, (feats, names) in _scenarios(df, plants).items():
         split = assign_split(feats, train_plants, test_plant, dates)
         _, stacked, _ = train_and_evaluate(split, names, factories)
         stacks.append(stacked.withColumn("scenario", F.lit(scenario)))
+        if scenario == "with_lag":
+            naive = split.select(*KEEP, "split", F.lit("naive").alias("model"), F.col(C.TARGET).alias("y_true"),
+                                 F.col(f"{C.TARGET}_lag_1").alias("y_pred"), F.lit("baseline").alias("scenario"))
     both = stacks[0].unionByName(stacks[1])
     common = evaluate.common_keys(*[s.filter(F.col("split") == "test") for s in stacks])
-    naive = persistence(assign_split(df, train_plants, test_plant, dates)).select(
-        C.PLANT, C.TS, "split", C.RADIATION, F.lit("naive").alias("model"), "y_true", "y_pred",
-        F.lit("baseline").alias("scenario"),
-    )
     test = both.unionByName(naive).filter(F.col("split") == "test").join(common, [C.PLANT, C.TS], "left_semi")
     compared = evaluate.merge_scopes(test.withColumnRenamed("scenario", "type"))
     return {

@@ -154,3 +154,15 @@ def test_alert_episodes_small(spark):
     eps = episodes.episodes(mon, config).orderBy("inicio").collect()
     assert [(r["duracion_pasos"], r["tipo"]) for r in eps] == [(11, C.PERSISTENT), (2, C.SPORADIC)]
     assert POS not in mon.columns
+
+
+def test_asof_many_rows_at_one_instant_share_one_lookup(spark):
+    from pyspark.sql import functions as F
+
+    left = spark.range(20_000).select(F.lit("a").alias("station"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("timestamp"), F.col("id").alias("i"))
+    left = left.unionByName(spark.sql("select cast(null as string) station, timestamp_seconds(1700000000) timestamp, -1L i"))
+    right = spark.sql("select 'a' station, timestamp_seconds(1700000300) timestamp, 5.0D station_radiation")
+    got = asof.asof_nearest(left, right, ["station_radiation"], ("station",))
+    assert got.columns == ["station", "timestamp", "i", "station_radiation"]
+    assert got.filter("i >= 0").agg(F.count("*"), F.countDistinct("i"), F.sum("station_radiation")).first()[:] == (20_000, 20_000, 100_000.0)
+    assert got.filter("i < 0").first()["station_radiation"] is None
