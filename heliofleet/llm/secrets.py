@@ -67,7 +67,7 @@ def scan(docs: DataFrame, owner: str, repository: str) -> tuple[DataFrame, DataF
 
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """``docs`` with every live-looking secret replaced by ``[kind]`` and ``n_chars`` counted anew; all rows and columns stay."""
+    """``docs`` with every live-looking secret replaced by ``[secret]`` and ``n_chars`` counted anew; all rows and columns stay."""
     rows, spans = scan(docs, owner, repository)
     # Spans are found by doc_id and text, as rows have no number of their own in ``docs``.
     live = spans.filter("live").join(rows, "row").groupBy("doc_id").agg(F.array_distinct(F.collect_list("value")).alias("secrets_"))
