@@ -3,10 +3,14 @@
 A byte-level vocabulary never merges across the place before a space that a letter, digit or mark follows, so a text is cut
 there, every different piece of a batch is encoded once, and the ids are joined. A text in which a space is followed by another
 white-space or unusual character is encoded as a whole. Pieces seen before are remembered up to ``REMEMBERED`` per worker.
+
+Where the file's only cut is the library's byte-level one, a piece of letters with marks behind it is two words of that cut;
+each goes to the library's merge model directly, so "word" and "word," share their work.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -14,6 +18,9 @@ from itertools import chain
 
 REMEMBERED = 700_000
 _PLAIN = re.compile("[!-~¡-ᙿ]")
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁ]+)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks other than the apostrophe
+_OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that byte-level BPE shows as themselves
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_OWN))}
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -24,6 +31,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and not made["normalizer"]
+        plain = plain and all(t["special"] for t in made["added_tokens"])
+        plain = plain and model["type"] == "BPE" and not (model["dropout"] or model["continuing_subword_prefix"] or model["end_of_word_suffix"])
+        self.model = self.tokenizer.model if plain else None
         self.known: dict[str, bytes | None] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -34,7 +47,7 @@ class Encoder:
         wanted = set(chain.from_iterable(pieces))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(wanted.difference(self.known))
+        new = self._without_words(wanted.difference(self.known))
         fit = [p for p in new if p[:1] == " " or _PLAIN.match(p)]
         for p, e in zip(fit, self._encode([p[1:] if p[0] == " " else " " + p for p in fit]), strict=True):
             self.known[p] = e
@@ -48,6 +61,21 @@ class Encoder:
                 out.append(self._encode([text])[0])
         return out
 
+    def _without_words(self, new: set[str]) -> list[str]:
+        """Learns the pieces that are letters and marks; the others."""
+        if self.model is None:
+            return list(new)
+        words = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}
+        parts = {h for h, _ in words.values()} | {" " + t for _, t in words.values() if t}
+        for p in parts.difference(self.known):
+            text = p[1:] if p[0] == " " else " " + p
+            found = self.model.tokenize(text.encode().decode("latin-1").translate(_SHOWN))
+            self.known[p] = array("I", [t.id for t in found]).tobytes()
+        for p, (head, tail) in words.items():
+            if tail:
+                self.known[p] = self.known[head] + self.known[" " + tail]
+        return list(new.difference(words))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 20_000):
