@@ -194,7 +194,7 @@ WITH w AS (SELECT lag(power_pu, 1) OVER o AS a, lag(power_pu, 2) OVER o AS b, la
 SELECT CAST(sum((a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT + (e IS NULL)::INT + (f IS NULL)::INT
   + 3 * (n <= 1)::INT + 3 * (n <= 2)::INT) AS BIGINT) AS n_null FROM w""")
 def memory_null_guard(spark, d):
-    config = C.FeatureConfig(drop_na_after_features=False)
+    config = C.Features(complete_rows=False)
     return splits.memory_nulls(build_features(B.per_unit(spark, d), config, sorted(B.NOMINAL_KW)))
 
 

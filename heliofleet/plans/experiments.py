@@ -19,7 +19,7 @@ KEEP = [C.PLANT, C.TS, C.RADIATION]
 
 def _scenarios(df: DataFrame, plants: Sequence[str]) -> dict[str, tuple[DataFrame, list[str]]]:
     out = {}
-    for name, config in (("with_lag", C.FeatureConfig()), ("without_lag", C.FeatureConfig().without_memory())):
+    for name, config in (("with_lag", C.Features()), ("without_lag", C.Features().without_memory())):
         feats = build_features(df, config, plants)
         out[name] = (feats, feature_columns(feats))
     return out

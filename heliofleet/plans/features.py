@@ -24,7 +24,7 @@ def plant_names(df: DataFrame) -> list[str]:
 
 
 def build_features(
-    df: DataFrame, config: C.FeatureConfig = C.FeatureConfig(), plants: Sequence[str] | None = None,
+    df: DataFrame, config: C.Features = C.Features(), plants: Sequence[str] | None = None,
     order: Order = PLANT_ORDER,
 ) -> DataFrame:
     """Model inputs from readings with a per-unit target.
@@ -35,27 +35,24 @@ def build_features(
     """
     C.require_columns(df, (*C.REQUIRED_COLUMNS, C.TARGET, C.PLANT))
     ts, radiation, out = F.col(C.TS), F.col(C.RADIATION), df
-    memory = (
-        lag_columns(C.TARGET, config.lag_steps_power)
-        | lag_columns(C.RADIATION, config.lag_steps_radiation)
-        | rolling_columns(C.TARGET, config.rolling_windows_power)
-        | rolling_columns(C.RADIATION, config.rolling_windows_radiation)
-    )
+    memory = {}
+    for column, steps in config.lags.items():
+        memory |= lag_columns(column, steps)
+    for column, sizes in config.windows.items():
+        memory |= rolling_columns(column, sizes)
     if memory:
-        reach = max(*config.lag_steps_power, *config.lag_steps_radiation, *config.rolling_windows_power,
-                    *config.rolling_windows_radiation, 0, 0)
-        out = halo_window(out, memory, reach, order=order)
-    if config.drop_na_after_features:
+        out = halo_window(out, memory, config.reach, order=order)
+    if config.complete_rows:
         out = out.dropna("any", subset=[C.PLANT, *C.REQUIRED_COLUMNS, C.TARGET, *memory])
     # Columns of the row itself come after the windows, so that the shuffles stay narrow. They are
     # complete wherever the columns above are.
     out = add_deltas(out).withColumns(S.calendar(ts) | S.cyclic_calendar(ts))
-    if config.add_daylight_flag:
+    if "daylight" in config.groups:
         out = out.withColumn("is_daylight", S.daylight(radiation))
-    if config.add_interactions:
+    if "interactions" in config.groups:
         out = out.withColumns(S.interactions(radiation, F.col(C.TEMPERATURE)))
     out = out.withColumns(S.one_hot(S.regime(radiation), C.REGIMES, "regime"))
-    if config.one_hot_encode_plant:
+    if "plant" in config.groups:
         names = plants if plants is not None else plant_names(df)
         out = out.withColumns(S.one_hot(F.col(C.PLANT), sorted(names), "plant"))
     return out

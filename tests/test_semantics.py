@@ -133,8 +133,12 @@ def test_features_drop_the_first_rows_of_every_plant_and_ignore_foreign_columns(
     names = feature_columns(out.drop("only_a"))
     assert len(names) - 2 == 10 + 1 + 2 + 4 + 5 + 6 + 2 + 2  # plus radiation and T_ambiente, minus the two plant columns
     assert "power" not in names and "power_pu" not in names
-    bare = build_features(df, C.FeatureConfig().without_memory(), ["a", "b"])
+    bare = build_features(df, C.Features().without_memory(), ["a", "b"])
     assert bare.count() == 24
+    warm = build_features(df, C.Features(lags={"T_ambiente": (3,)}, windows={}, groups=frozenset({"daylight"})))
+    assert warm.count() == 18 and "T_ambiente_lag_3" in warm.columns and not {"plant_a", "power_pu_lag_1"} & set(warm.columns)
+    with pytest.raises(ValueError):
+        C.Features(groups=frozenset({"weather"}))
 
 
 def test_horizon_columns_are_not_features(spark):
@@ -181,7 +185,7 @@ def test_splits_are_disjoint_and_checked(spark):
 def test_memory_guard(spark):
     splits.assert_complete_memory(build_features(pu(spark)))
     with pytest.raises(AssertionError):
-        splits.assert_complete_memory(build_features(pu(spark), C.FeatureConfig(drop_na_after_features=False)))
+        splits.assert_complete_memory(build_features(pu(spark), C.Features(complete_rows=False)))
 
 
 def test_dst_changes(spark):
