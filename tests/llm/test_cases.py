@@ -257,3 +257,15 @@ def test_suffix_runs_across_batches_and_tasks():
         for d, a, b in found:
             best[d, a] = max(best.get((d, a), 0), b)
         assert {(d, a, b) for (d, a), b in best.items()} == expected
+
+
+def test_ids_of_pieces_are_those_of_whole_texts():
+    from array import array
+
+    from heliofleet.llm.tokens import Encoder, default_vocabulary
+
+    enc = Encoder(default_vocabulary())
+    texts = ["a,b c'd e's", "  x", "Wort, straße; über. 'tis don't can't,", "Привет, мир!", "foo_bar foo__ x-", "(a) b)", "", "word, word word.",
+             "<|endoftext|> x<|endoftext|>", "a\tb c\n", "x ’s y’s", "é, é", "word"]
+    whole = [array("I", e.ids).tobytes() for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.model is not None and enc.ids(texts) == whole and enc.ids(texts[::-1]) == whole[::-1]
