@@ -55,6 +55,21 @@ def test_repeated_passages_against_brute_force(spark):
     assert {(r.doc_id, x) for r in got for x in range(r.start_word, r.end_word)} == want
 
 
+def test_repeated_passages_before_a_frequent_line(spark):
+    rng = np.random.default_rng(3)
+    line = [f"line{i}" for i in range(45)]
+    texts, want = [], set()
+    for i in range(60):  # pairs share a sentence before the line, after random texts
+        sentence = [f"s{i}_{j}" for j in range(5 + i % 16)]
+        for k in (2 * i, 2 * i + 1):
+            texts.append([f"u{k}_{j}" for j in range(30)] + sentence + line + [f"v{rng.integers(1 << 30)}" for _ in range(40)])
+            want.add((k, 30, 30 + len(sentence) + 45, k ^ 1))
+    texts += [[f"u{k}_{j}" for j in range(30)] + line + [f"v{rng.integers(1 << 30)}" for _ in range(40)] for k in range(120, 1000)]
+    got = suffixes.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == want
+
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, 0), (6, None, 1), (None, 0, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.scored(docs, quality.train(docs, labels), ["doc_id", "score"], "score_").collect()
