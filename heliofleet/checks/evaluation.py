@@ -194,6 +194,15 @@ def hour_series(spark, d):
                           ("with_lag", "without_lag"))
 
 
+@check("hour_series_all_hours", """
+WITH a AS (SELECT CAST(hour("timestamp") AS INT) AS hour, avg(abs(y_true - y_pred)) AS v FROM pred WHERE model = 'persistence' GROUP BY 1),
+b AS (SELECT CAST(hour("timestamp") AS INT) AS hour, avg(abs(y_true - y_pred)) AS v FROM pred WHERE model = 'linear' GROUP BY 1)
+SELECT coalesce(a.hour, b.hour) AS hour, a.v AS with_lag, b.v AS without_lag FROM a FULL JOIN b ON b.hour = a.hour""", "with_lag without_lag", PREDICTIONS)
+def hour_series_all(spark, d):
+    p = B.predictions(spark, d).groupBy("model", F.hour(C.TS).alias("hour")).agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
+    return E.side_by_side(p.filter("model = 'persistence'"), p.filter("model = 'linear'"), "hour", "mae", ("with_lag", "without_lag"))
+
+
 @check("common_scenario_rows", """
 SELECT id_planta, "timestamp" FROM pred WHERE model = 'persistence' INTERSECT SELECT id_planta, "timestamp" FROM pred WHERE model = 'same_slot_yesterday'""",
        "", PREDICTIONS)

@@ -61,6 +61,14 @@ def missing_station_days(spark, d):
     return asof.missing_days(B.stations(spark, d).filter(F.col("station") == "ST2"), "2023-12-25", "2024-02-05")
 
 
+@check("missing_days_of_all_stations", """
+SELECT station, CAST(CAST(day AS DATE) AS VARCHAR) AS day FROM (SELECT DISTINCT station FROM stations),
+  (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS day)
+WHERE (station, CAST(day AS DATE)) NOT IN (SELECT (station, CAST("Date" AS DATE)) FROM stations)""", "", STATIONS)
+def missing_days_of_all(spark, d):
+    return asof.missing_days(B.stations(spark, d), "2023-12-25", "2024-02-05", ["station"])
+
+
 @check("text_coercion", """
 SELECT event_id,
   TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS number,

@@ -168,11 +168,13 @@ def best_station_per_day(observations: DataFrame, priority: Sequence[str]) -> Da
     return ranked.join(best, ["Date", "_prio"], "left_semi").drop("_prio")
 
 
-def missing_days(observations: DataFrame, start: str, end: str) -> DataFrame:
-    """Calendar days of the range without any observation."""
+def missing_days(observations: DataFrame, start: str, end: str, by: Sequence[str] = ()) -> DataFrame:
+    """Calendar days of the range without any observation; with ``by``, for each of its groups that has observations at all."""
     spark = observations.sparkSession
     calendar = spark.range(1).select(
         F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")
     )
-    present = observations.select(F.col("Date").cast("date").alias("day")).distinct()
-    return calendar.join(present, "day", "left_anti")
+    present = observations.select(*by, F.col("Date").cast("date").alias("day")).distinct()
+    if by:
+        calendar = present.select(*by).distinct().crossJoin(calendar)
+    return calendar.join(present, [*by, "day"], "left_anti")

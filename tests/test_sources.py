@@ -138,3 +138,20 @@ def test_models_on_disk_with_fallback(spark, tmp_path):
     sinks.save_models(spark, fitted, str(tmp_path / "models"))
     name, model = sinks.load_model(spark, str(tmp_path / "models"), "absent")
     assert name == "ridge" and model.transform(df).count() == 500
+
+
+def test_missing_days_of_each_station(spark):
+    from heliofleet.operators.asof import missing_days
+
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-03"), ("b", "2024-01-02")], "station string, Date string")
+    got = {(r["station"], str(r["day"])) for r in missing_days(rows, "2024-01-01", "2024-01-03", ["station"]).collect()}
+    assert got == {("a", "2024-01-02"), ("b", "2024-01-01"), ("b", "2024-01-03")}
+
+
+def test_queries_over_all_stations_and_hours(spark):
+    from heliofleet.checks import load_all
+
+    queries, d = load_all()[0], "/root/testdata/sf0.001"
+    assert {r["station"] for r in queries["missing_days_of_all_stations"](spark, d).collect()} == {f"ST{i}" for i in range(6)}
+    both = queries["hour_series_all_hours"](spark, d)
+    assert both.filter("hour >= 16 AND with_lag IS NOT NULL").count() and both.filter("hour <= 8 AND without_lag IS NOT NULL").count()
