@@ -1,4 +1,4 @@
-"""Regressors and experiments, with small tree counts."""
+"""Regressors and experiments, with the full presets of the registry."""
 
 from __future__ import annotations
 
@@ -18,17 +18,12 @@ WINDOWS = {"semana_1": ("2024-01-01", "2024-01-08"), "semana_2": ("2024-01-08",
            "semana_3": ("2024-01-15", "2024-01-22"), "semana_4": ("2024-01-22", "2024-01-30")}
 
 
-def small(names=("ridge", "random_forest")):
-    full = models.registry(trees=5, rounds=5, max_depth=4)
-    return {n: full[n] for n in names}
-
-
 @check("ridge_one_feature", """
 WITH t AS (SELECT regr_sxy(power_pu, radiation) AS sxy, regr_sxx(power_pu, radiation) AS sxx, avg(power_pu) AS my, avg(radiation) AS mx FROM base WHERE split = 'train')
 SELECT id_planta, "timestamp", power_pu AS y_true, my + sxy / (sxx + 1.0) * (radiation - mx) AS y_pred FROM base, t WHERE split = 'test'""", "y_true y_pred", SPLITS)
 def ridge_one_feature(spark, d):
     rows = assign_split(B.per_unit(spark, d), B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT)
-    fitted = models.fit_all(rows.filter("split = 'train'"), [C.RADIATION], small(("ridge",)))
+    fitted = models.fit_all(rows.filter("split = 'train'"), [C.RADIATION], {"ridge": models.registry()["ridge"]})
     return models.predict_all(rows.filter("split = 'test'"), fitted, [C.PLANT, C.TS]).drop("model")
 
 
@@ -36,38 +31,37 @@ def ridge_one_feature(spark, d):
 def train_and_evaluate(spark, d):
     feats = build_features(B.per_unit(spark, d), plants=PLANTS)
     rows = assign_split(feats, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT)
-    names = tuple(models.registry())
-    return models.train_and_evaluate(rows, feature_columns(feats), small(names))[2]
+    return models.train_and_evaluate(rows, feature_columns(feats), models.registry())[2]
 
 
 @check("memory_comparison_experiment")
 def memory_comparison(spark, d):
-    return experiments.memory_comparison(B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT, small())["comparison"]
+    return experiments.memory_comparison(B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT, models.registry())["comparison"]
 
 
 @check("local_adaptation_experiment")
 def local_adaptation(spark, d):
-    return experiments.local_adaptation(B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, factories=small(), **ADAPTED)
+    return experiments.local_adaptation(B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, factories=models.registry(), **ADAPTED)
 
 
 @check("seasonal_robustness_experiment")
 def seasonal_robustness(spark, d):
     return experiments.seasonal_robustness(
-        B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, "2024-01-15", WINDOWS, small(), min_rows=5
+        B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, "2024-01-15", WINDOWS, models.registry()
     )["variability"]
 
 
 @check("horizon_experiment")
 def horizon_experiment(spark, d):
     return experiments.horizon_comparison(
-        B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT, small(), horizons=(1, 4)
+        B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT, models.registry()
     )["degradation"]
 
 
 @check("feature_importance_top10")
 def feature_importance(spark, d):
     out = experiments.horizon_comparison(
-        B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT, small(("random_forest",)), horizons=(1, 4),
+        B.per_unit(spark, d), PLANTS, B.TRAIN_PLANTS, B.TEST_PLANT, B.SPLIT, {"random_forest": models.registry()["random_forest"]},
         importance_of="random_forest",
     )
     return E.top_features(out["importance"])

@@ -325,3 +325,37 @@ def test_empty_input(spark):
     assert quality.plant_summary(empty).count() == 0
     assert series.fill_gaps(empty).count() == 0
     assert quality.clip_outliers(empty)[0].count() == 0
+
+
+def test_learning_queries_use_full_presets(spark, monkeypatch):
+    from heliofleet.checks import learning
+    from heliofleet.plans import models
+
+    class Stop(Exception):
+        pass
+
+    def caught(owner, name, query):
+        seen = {}
+
+        def held(*a, **k):
+            seen.update(k | {"given": a})
+            raise Stop
+        with monkeypatch.context() as m:
+            m.setattr(learning.B, "per_unit", lambda *a: None)
+            for step in ("build_features", "assign_split", "feature_columns"):
+                m.setattr(learning, step, lambda *a, **k: None)
+            m.setattr(owner, name, held)
+            with pytest.raises(Stop):
+                query(None, None)
+        factories = next(x for x in [*seen["given"], *seen.values()] if isinstance(x, dict) and "random_forest" in x)
+        assert factories["random_forest"](None).getNumTrees() == 200 and factories["random_forest"](None).getMaxDepth() == 30
+        assert "horizons" not in seen and "min_rows" not in seen
+        return set(factories)
+
+    full = set(models.registry())
+    assert caught(models, "train_and_evaluate", learning.train_and_evaluate) == full
+    assert caught(learning.experiments, "memory_comparison", learning.memory_comparison) == full
+    assert caught(learning.experiments, "local_adaptation", learning.local_adaptation) == full
+    assert caught(learning.experiments, "seasonal_robustness", learning.seasonal_robustness) == full
+    assert caught(learning.experiments, "horizon_comparison", learning.horizon_experiment) == full
+    assert caught(learning.experiments, "horizon_comparison", learning.feature_importance) == {"random_forest"}
