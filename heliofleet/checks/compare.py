@@ -17,7 +17,7 @@ from . import load_all
 def _normal(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return None
         if isinstance(x, pd.Timestamp):
             return x.isoformat()

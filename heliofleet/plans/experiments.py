@@ -11,6 +11,7 @@ from .. import contracts as C
 from ..operators import evaluate
 from ..operators.series import add_horizons, horizon_names
 from ..operators.splits import adapted_split, assign_split, season_windows
+from ..session import cut_lineage
 from .features import build_features, feature_columns
 from .models import Factory, feature_importance, fit_all, predict_all, train_and_evaluate
 
@@ -60,7 +61,7 @@ def local_adaptation(
     """RMSE on the target plant with and without some of its own history in the training rows."""
     feats = build_features(df, plants=plants)
     names = feature_columns(feats)
-    split = adapted_split(feats, base_plants, target, base_end, local, val, test)
+    split = cut_lineage(adapted_split(feats, base_plants, target, base_end, local, val, test))
     tables = []
     for rows in (split, split.filter((F.col("split") != "train") | (F.col(C.PLANT) != target))):
         _, stacked, _ = train_and_evaluate(rows, names, factories)
@@ -76,10 +77,11 @@ def seasonal_robustness(
     stacks = None
     labels = {"with_lag": "Con lags", "without_lag": "Sin lags"}
     for scenario, (feats, names) in _scenarios(df, plants).items():
+        feats = cut_lineage(feats)
         train = feats.filter(F.col(C.PLANT).isin(*train_plants) & (F.col(C.TS) <= F.lit(train_end).cast("timestamp_ntz")))
         models = fit_all(train, names, factories)
         rows = season_windows(feats, windows, test_plant)
-        part = predict_all(rows, models, [*KEEP, "estacion"]).withColumn("tipo", F.lit(labels[scenario]))
+        part = cut_lineage(predict_all(rows, models, [*KEEP, "estacion"])).withColumn("tipo", F.lit(labels[scenario]))
         stacks = part if stacks is None else stacks.unionByName(part)
     table = evaluate.seasonal_metrics(stacks, min_rows=min_rows)
     return {"metrics": table, "variability": evaluate.variability(table),
@@ -96,7 +98,7 @@ def horizon_comparison(
     The split cuts on the time of the inputs. With ``embargo`` rows whose target would lie past a
     cut are left out.
     """
-    feats = add_horizons(build_features(df, plants=plants), horizons).dropna(subset=horizon_names(horizons))
+    feats = cut_lineage(add_horizons(build_features(df, plants=plants), horizons).dropna(subset=horizon_names(horizons)))
     names = feature_columns(feats, horizons=True)
     stacks, fitted = None, {}
     for h in horizons:

@@ -1,19 +1,24 @@
-"""Regressor registry, training and evaluation on Spark ML."""
+"""Regressor registry, training and evaluation."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import contracts as C
-from ..operators import evaluate
+from ..operators import evaluate, trees
 from ..session import cut_lineage
 
 FEATURES = "features"
@@ -32,39 +37,82 @@ def ridge(train: DataFrame, label: str = C.TARGET, alpha: float = RIDGE_ALPHA) -
                             elasticNetParam=0.0, standardization=False, regParam=reg)
 
 
-def _forest(label: str, seed: int, **kw) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol=FEATURES, labelCol=label, predictionCol="y_pred", seed=seed, **kw)
+@dataclass(frozen=True)
+class TreeRegressor:
+    """Trees to be grown by ``operators.trees``; models of one fit are grown together."""
 
+    spec: trees.Spec
 
-def _boosted(label: str, seed: int, **kw) -> GBTRegressor:
-    return GBTRegressor(featuresCol=FEATURES, labelCol=label, predictionCol="y_pred", seed=seed, stepSize=0.05,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", **kw)
 
+class TreeModel(Model, MLWritable, MLReadable):
+    """Fitted trees as a pipeline stage that adds ``y_pred``."""
 
-Factory = Callable[[DataFrame], Estimator]
+    def __init__(self, ensemble: trees.Ensemble | None = None):
+        super().__init__()
+        self.ensemble = ensemble
 
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return trees.predict(dataset, {"y_pred": self.ensemble})
 
-def registry(label: str = C.TARGET, seed: int = 42, trees: int = 200, rounds: int = 300,
-             max_depth: int = 30) -> dict[str, Factory]:
-    """Name to estimator factory. Tree counts, rounds and depth are the full presets by default.
+    @property
+    def featureImportances(self) -> DenseVector:
+        return DenseVector(self.ensemble.importances())
 
-    ``randomized_forest`` draws no bootstrap sample and looks at a third of the features per
-    split; Spark has no splitter with random thresholds. The three boosted presets differ in depth
-    (6, 5 - about 31 leaves - and 6) and in column sampling.
-    """
-    shallow = max_depth
+    def write(self) -> MLWriter:
+        return _TreeWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TreeReader()
+
+
+_NODES = ("feature", "threshold", "left", "right", "value", "gain")
+
+
+class _TreeWriter(MLWriter):
+    def __init__(self, model: TreeModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        e = self.model.ensemble
+        nodes = pd.DataFrame({c: getattr(e, c) for c in _NODES}).reset_index(names="node")
+        self.sparkSession.createDataFrame(nodes).write.parquet(f"{path}/nodes")
+        head = [(json.dumps(asdict(e.spec)), e.features, float(e.base), e.starts.tolist())]
+        self.sparkSession.createDataFrame(head, "spec string, features array<string>, base double, starts array<long>").write.parquet(f"{path}/head")
 
-    def boosted(depth: int, columns: str = "0.8") -> Factory:
-        return lambda train: _boosted(label, seed, maxIter=rounds, maxDepth=min(depth, shallow)).setFeatureSubsetStrategy(columns)
 
+class _TreeReader(MLReader):
+    def load(self, path: str) -> TreeModel:
+        head = self.sparkSession.read.parquet(f"{path}/head").first()
+        nodes = self.sparkSession.read.parquet(f"{path}/nodes").orderBy("node").toPandas()
+        model = TreeModel(trees.Ensemble(trees.Spec(**json.loads(head["spec"])), list(head["features"]), head["base"],
+                                         *(nodes[c].to_numpy() for c in _NODES), np.array(head["starts"])))
+        model._resetUid(DefaultParamsReader.loadMetadata(path, self.sparkSession)["uid"])
+        return model
+
+
+Factory = Callable[[DataFrame], Estimator | TreeRegressor]
+
+
+def registry(label: str = C.TARGET, seed: int = 42, n_trees: int = 200, rounds: int = 300) -> dict[str, Factory]:
+    """Name to factory of an estimator. Tree counts, rounds and shares are the full presets by default.
+
+    Trees of the two forests grow until their leaves are pure. Boosting grows six levels, or up to 31 leaves with the largest gain first,
+    or six symmetric levels (one split a level).
+    """
+    def grown(**kw) -> Factory:
+        return lambda train: TreeRegressor(trees.Spec(seed=seed, **kw))
+
+    boosted = {"trees": rounds, "boosted": True, "rate": 0.05, "row_share": 0.8}
     return {
         "ridge": lambda train: ridge(train, label),
-        "random_forest": lambda train: _forest(label, seed, numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all"),
-        "randomized_forest": lambda train: _forest(label, seed, numTrees=trees, maxDepth=max_depth, bootstrap=False,
-                                                   featureSubsetStrategy="onethird"),
-        "boosted_depth6": boosted(6),
-        "boosted_31_leaves": boosted(5),
-        "boosted_all_columns": boosted(6, "all"),
+        "random_forest": grown(trees=n_trees, bootstrap=True),
+        "extra_trees": grown(trees=n_trees, random_cuts=True),
+        "boosted_depth6": grown(**boosted, depth=6, l2=1.0, column_share=0.8),
+        "boosted_31_leaves": grown(**boosted, growth="best_first", leaves=31, min_rows=20, column_share=0.8),
+        "boosted_symmetric": grown(**boosted, growth="symmetric", depth=6, l2=3.0),
     }
 
 
@@ -84,16 +132,25 @@ def fit_all(train: DataFrame, features: Sequence[str], factories: Mapping[str, F
     """Fit each model on the training rows, which are written once (unless they are already) and read by every fit."""
     rows = train.select(*features, label)
     rows = rows if written else cut_lineage(rows)
-    return {name: assembled(features, make(rows), scale).fit(rows) for name, make in factories.items()}
+    made = {name: make(rows) for name, make in factories.items()}
+    specs = {name: e.spec for name, e in made.items() if isinstance(e, TreeRegressor)}
+    grown = trees.fit(rows, features, label, specs) if specs else {}
+    return {name: PipelineModel([TreeModel(grown[name])]) if name in grown else assembled(features, e, scale).fit(rows)
+            for name, e in made.items()}
 
 
 def predict_all(df: DataFrame, models: Mapping[str, PipelineModel], keep: Sequence[str], label: str = C.TARGET) -> DataFrame:
     """Every model's predictions stacked: ``keep``, ``model``, ``y_true``, ``y_pred``. One pass over the rows."""
     if not models:
         raise ValueError("no models")
-    out, wanted = df, list(df.columns)
+    out, wanted, done = df, list(df.columns), []
+    grown = {f"_y{i}": m.stages[-1].ensemble for i, m in enumerate(models.values()) if isinstance(m.stages[-1], TreeModel)}
     for i, model in enumerate(models.values()):
-        out = model.transform(out).withColumnRenamed("y_pred", f"_y{i}").select(*wanted, *[f"_y{j}" for j in range(i)], f"_y{i}")
+        if f"_y{i}" not in grown:
+            done.append(f"_y{i}")
+            out = model.transform(out).withColumnRenamed("y_pred", f"_y{i}").select(*wanted, *done)
+    if grown:
+        out = trees.predict(out, grown)
     pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_y{i}").alias("y_pred")) for i, n in enumerate(models)])
     return out.select(*keep, F.col(label).alias("y_true"), F.inline(pairs)).select(*keep, "model", "y_true", "y_pred")
 
@@ -103,12 +160,12 @@ def train_and_evaluate(
 ) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
     """Fit on the train split; stacked predictions and one metric table over validation and test.
 
-    The split table is written once, by split; fits and predictions read their part of it.
+    The split table is written once, by split; fits and predictions read their part of it. Predictions are written once too.
     """
     keep = [C.PLANT, C.TS, "split", C.RADIATION]
     rows = cut_lineage(df.select(*dict.fromkeys([*keep, *features, label])), ("split",))
     models = fit_all(rows.filter(F.col("split") == "train"), features, factories, label, written=True)
-    stacked = predict_all(rows.filter(F.col("split") != "train"), models, keep, label)
+    stacked = cut_lineage(predict_all(rows.filter(F.col("split") != "train"), models, keep, label))
     return models, stacked, evaluate.metrics(stacked, ("split", "model"))
 
 

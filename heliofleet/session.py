@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -26,6 +27,14 @@ def build_session(app: str = "heliofleet", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def workers_see_package(spark: SparkSession) -> None:
+    """Python workers on this machine import the package from where the driver has it; a cluster gets it by --py-files."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), home) if x)
+
+
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The cluster's shared folder; none in a local session that names none."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

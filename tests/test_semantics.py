@@ -348,7 +348,7 @@ def test_learning_queries_use_full_presets(spark, monkeypatch):
             with pytest.raises(Stop):
                 query(None, None)
         factories = next(x for x in [*seen["given"], *seen.values()] if isinstance(x, dict) and "random_forest" in x)
-        assert factories["random_forest"](None).getNumTrees() == 200 and factories["random_forest"](None).getMaxDepth() == 30
+        assert factories["random_forest"](None).spec.trees == 200 and factories["random_forest"](None).spec.depth is None
         assert "horizons" not in seen and "min_rows" not in seen
         return set(factories)
 

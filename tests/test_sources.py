@@ -121,11 +121,13 @@ def test_ridge_matches_closed_form(spark):
 
 
 def test_registry_and_scaled_fit(spark):
-    assert list(models.registry()) == ["ridge", "random_forest", "randomized_forest", "boosted_depth6", "boosted_31_leaves", "boosted_all_columns"]
-    forest = models.registry()["random_forest"](None)
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (200, 30, "all")
-    boosted = models.registry()["boosted_depth6"](None)
-    assert (boosted.getMaxIter(), boosted.getStepSize(), boosted.getSubsamplingRate()) == (300, 0.05, 0.8)
+    assert list(models.registry()) == ["ridge", "random_forest", "extra_trees", "boosted_depth6", "boosted_31_leaves", "boosted_symmetric"]
+    specs = {name: make(None).spec for name, make in models.registry().items() if name != "ridge"}
+    assert {n: (s.trees, s.depth, s.leaves, s.rate, s.row_share, s.column_share) for n, s in specs.items()} == {
+        "random_forest": (200, None, None, 1.0, 1.0, 1.0), "extra_trees": (200, None, None, 1.0, 1.0, 1.0),
+        "boosted_depth6": (300, 6, None, 0.05, 0.8, 0.8), "boosted_31_leaves": (300, None, 31, 0.05, 0.8, 0.8),
+        "boosted_symmetric": (300, 6, None, 0.05, 0.8, 1.0)}
+    assert specs["random_forest"].bootstrap and specs["extra_trees"].random_cuts
     df = ridge_frame(spark)
     fitted = models.fit_all(df, ["a", "b", "c"], {"ridge": models.registry()["ridge"]}, scale=True)["ridge"]
     assert any(isinstance(s, StandardScalerModel) for s in fitted.stages)
