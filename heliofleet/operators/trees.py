@@ -67,7 +67,8 @@ def draw(*keys) -> np.ndarray:
 
 
 def _child_place(place: int, side: int) -> int:
-    return int(draw(place, side, 77) * (1 << 53))
+    h = (2 * place + side + 1) * int(_GOLDEN) % (1 << 64)
+    return (h ^ (h >> 31)) * int(_M1) % (1 << 64) >> 11
 
 
 def row_weights(spec: Spec, tree: int, rows: np.ndarray) -> np.ndarray:
@@ -468,8 +469,10 @@ def _fit_in_tasks(rows: DataFrame, features: int, base: float, unit: float, edge
     x = _matrix(table.column("x"), features) if table.num_rows else np.zeros((0, features), np.uint8)
     held = spark.sparkContext.broadcast((x, table.column("row").to_numpy(), np.rint((table.column("y").to_numpy() - base) / unit)))
     names = list(specs)
-    jobs = [(i, 0) for i, m in enumerate(names) if specs[m].boosted] + [(i, k) for i, m in enumerate(names) if not specs[m].boosted for k in range(specs[m].trees)]
-    tasks = spark.sparkContext.defaultParallelism
+    # A chain is a task, the first ones, as they take longest; trees of forests are dealt to a few tasks a core.
+    single = [(i, k) for i, m in enumerate(names) if not specs[m].boosted for k in range(specs[m].trees)]
+    tasks = max(1, min(len(single), 4 * spark.sparkContext.defaultParallelism))
+    jobs = [[(i, 0)] for i, m in enumerate(names) if specs[m].boosted] + [single[k::tasks] for k in range(tasks) if single]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, numbers, grad = held.value
@@ -480,8 +483,7 @@ def _fit_in_tasks(rows: DataFrame, features: int, base: float, unit: float, edge
                         else [_grow_forest_tree(spec, tree, x, numbers, grad, edges)])
                 out = [{"model": model, "tree": tree + i, **_packed(t)} for i, t in enumerate(made)]
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("model", pa.int32()), ("tree", pa.int32()), *_TREE_FIELDS]))
-    # Chains take longest: they go first, one to a task, and the trees of forests fill the rest.
-    dealt = spark.createDataFrame(spark.sparkContext.parallelize(sorted(jobs, key=lambda j: j[1]), max(1, min(len(jobs), 4 * tasks))), "model int, tree int")
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(jobs, len(jobs)).flatMap(list), "model int, tree int")
     found = dealt.mapInArrow(run, f"model int, tree int, {_TREE}").toArrow().to_pylist()
     held.unpersist()
     out: dict[str, list] = {m: [] for m in names}
