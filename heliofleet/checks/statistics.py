@@ -68,15 +68,21 @@ def dagostino(spark, d):
     return stats.dagostino(producing(spark, d), "e_kw", (C.PLANT,))
 
 
+def _sql_erfc(x: str) -> str:
+    """Complementary error function for 0 <= x by the alternating power series (to ten digits); nothing is left beyond 4.2."""
+    terms = f"lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest({x}, 1e-300)) - lgamma(k + 1)) / (2 * k + 1)"
+    return f"CASE WHEN {x} > 4.2 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), {terms})) END"
+
+
 def _sql_half_tail(z: str) -> str:
-    """P(Z > |z|) by the same Chebyshev fit, lowest power first."""
-    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    x = f"(abs({z}) / sqrt(2))"
-    t = f"(1 / (1 + 0.5 * {x}))"
-    poly = repr(fit[-1])
-    for c in reversed(fit[:-1]):
-        poly = f"({poly} * {t} + {c!r})"
-    return f"({t} * exp(-{x} * {x} + {poly}) / 2)"
+    return f"({_sql_erfc(f'(abs({z}) / sqrt(2))')}) / 2"
+
+
+def _sql_chi2_tail(q: str, df: str) -> str:
+    """Tail of chi-square for any whole number of degrees: a finite sum, and for odd ones the normal tail."""
+    def finite(first: str) -> str:
+        return f"coalesce(list_sum(list_transform(range(0, {df} // 2), lambda k: exp(-{q} / 2 + (k + {first}) * ln(greatest({q}, 1e-300) / 2) - lgamma(k + {first} + 1)))), 0)"
+    return f"CASE WHEN {q} <= 0 THEN 1 WHEN {df} % 2 = 0 THEN least(1, {finite('0')}) ELSE least(1, {_sql_erfc(f'sqrt(greatest({q}, 0) / 2)')} + {finite('0.5')}) END"
 
 
 @check("kolmogorov_smirnov", f"""
@@ -143,32 +149,43 @@ def autocorrelation(spark, d):
     return stats.autocorrelation(producing(spark, d), "e_kw")
 
 
-@check("ljung_box", " UNION ALL ".join(f"""
+@check("significant_lags", """
+SELECT id_planta, count(*) FILTER (abs(acf) > 1.959963984540054 / sqrt(n)) AS n_significant, count(*) AS n_lags,
+  max(lag) FILTER (abs(acf) > 1.959963984540054 / sqrt(n)) AS last_significant FROM acf WHERE lag > 0 GROUP BY 1""", "", ACF)
+def significant_lags(spark, d):
+    return stats.significant_lags(stats.autocorrelation(producing(spark, d), "e_kw"))
+
+
+@check("ljung_box", f"""SELECT *, {_sql_chi2_tail("Q", "lag")} AS p_value FROM (""" + " UNION ALL ".join(f"""
 SELECT id_planta, n, {m} AS lag, n::DOUBLE * (n + 2) * sum(acf * acf / (n - lag)) AS Q FROM acf WHERE lag BETWEEN 1 AND {m} GROUP BY 1, 2"""
-                                       for m in (1, 4, 8, 16, 24, 48)), "Q", ACF, 5)
+                                       for m in (1, 4, 8, 16, 24, 48)) + ")", "Q p_value", ACF, 5)
 def ljung_box(spark, d):
-    return stats.ljung_box(stats.autocorrelation(producing(spark, d), "e_kw")).drop("p_value")
+    return stats.ljung_box(stats.autocorrelation(producing(spark, d), "e_kw"))
+
+
+_WALLACE = "(8 * (n - 2)::DOUBLE + 1) / (8 * (n - 2)::DOUBLE + 3) * sqrt(-(n - 2)::DOUBLE * ln(1 - pearson_r * pearson_r))"
 
 
-@check("driver_correlations", " UNION ALL ".join(f"""
+@check("driver_correlations", f"SELECT *, {_sql_erfc(f'({_WALLACE} / sqrt(2))')} AS p_value FROM (" + " UNION ALL ".join(f"""
 SELECT id_planta, '{v}' AS driver, count(*) AS n, corr({v}, e_kw) AS pearson_r, corr(rx, ry) AS spearman_rho FROM (
   SELECT *, rank() OVER (PARTITION BY id_planta ORDER BY {v}) + (count(*) OVER (PARTITION BY id_planta, {v}) - 1) / 2 AS rx,
     rank() OVER (PARTITION BY id_planta ORDER BY e_kw) + (count(*) OVER (PARTITION BY id_planta, e_kw) - 1) / 2 AS ry FROM x) GROUP BY 1"""
-                                                  for v in ("radiation", "T_ambiente", "y_true")), "pearson_r spearman_rho", PRODUCING)
+                                                  for v in ("radiation", "T_ambiente", "y_true")) + ")", "pearson_r spearman_rho p_value", PRODUCING)
 def driver_correlations(spark, d):
-    return stats.driver_correlations(producing(spark, d), "e_kw", (C.RADIATION, C.TEMPERATURE, "y_true"), (C.PLANT,)).drop("p_value")
+    return stats.driver_correlations(producing(spark, d), "e_kw", (C.RADIATION, C.TEMPERATURE, "y_true"), (C.PLANT,))
 
 
-@check("kruskal_wallis", """
+@check("kruskal_wallis", f"""
 WITH r AS (SELECT id_planta, quarter("timestamp" + INTERVAL 1 MONTH) AS g, power, rank() OVER (PARTITION BY id_planta ORDER BY power)
     + (count(*) OVER (PARTITION BY id_planta, power) - 1) / 2 AS k FROM daily),
 s AS (SELECT id_planta, g, sum(k) AS s, count(*) AS n FROM r GROUP BY 1, 2),
-t AS (SELECT id_planta, sum(c ** 3 - c) AS t FROM (SELECT id_planta, power, count(*)::DOUBLE AS c FROM r GROUP BY 1, 2) GROUP BY 1)
-SELECT s.id_planta, CAST(sum(s.n) AS BIGINT) AS n, count(*) AS k, (12 / (sum(s.n)::DOUBLE * (sum(s.n) + 1)) * sum(s.s * s.s / s.n) - 3 * (sum(s.n) + 1))
-  / (1 - max(t.t) / (sum(s.n)::DOUBLE ** 3 - sum(s.n))) AS H FROM s JOIN t ON t.id_planta = s.id_planta GROUP BY 1""", "H", DAILY, 5)
+t AS (SELECT id_planta, sum(c ** 3 - c) AS t FROM (SELECT id_planta, power, count(*)::DOUBLE AS c FROM r GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT s.id_planta, CAST(sum(s.n) AS BIGINT) AS n, count(*) AS k, (12 / (sum(s.n)::DOUBLE * (sum(s.n) + 1)) * sum(s.s * s.s / s.n) - 3 * (sum(s.n) + 1))
+  / (1 - max(t.t) / (sum(s.n)::DOUBLE ** 3 - sum(s.n))) AS H FROM s JOIN t ON t.id_planta = s.id_planta GROUP BY 1)
+SELECT *, {_sql_chi2_tail("H", "(k - 1)")} AS p_value FROM h""", "H p_value", DAILY, 5)
 def kruskal_wallis(spark, d):
     rows = B.daily(spark, d).withColumn("season", S.season(F.col(C.TS)))
-    return stats.kruskal_wallis(rows, C.POWER, "season", (C.PLANT,)).drop("p_value")
+    return stats.kruskal_wallis(rows, C.POWER, "season", (C.PLANT,))
 
 
 @check("lowess_trend", """

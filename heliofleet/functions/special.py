@@ -48,12 +48,17 @@ def normal_pdf(x: Column, mean: Column, std: Column) -> Column:
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0 (Numerical Recipes' Chebyshev fit, 1.2e-7 relative)."""
-    # Fit coefficients, lowest power first.
-    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-           0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    t = 1 / (1 + 0.5 * x)
-    return t * F.exp(-x * x + _poly(t, tuple(reversed(fit))))
+    """Complementary error function for x >= 0: the series of erf in odd factorials below 3, a continued fraction from there."""
+    square = x * x
+    series = F.lit(1.0)  # 1 + 2x2/3 (1 + 2x2/5 (1 + ...)), which has positive terms only
+    for k in range(60, 0, -1):
+        series = 1 + 2 * square / (2 * k + 1) * series
+    below = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * x * series
+    far = F.greatest(x, F.lit(3.0))
+    fraction = far
+    for k in range(40, 0, -1):
+        fraction = far + k / 2 / fraction
+    return F.when(x < 3, below).otherwise(F.exp(-square) / math.sqrt(math.pi) / fraction)
 
 
 def chi2_tail(x: Column, df: int) -> Column:

@@ -17,6 +17,7 @@ Series keys must not be NULL (plant identifiers are stamped by the loaders).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -227,21 +228,66 @@ def neighbours(
 
 # ---- order by value ------------------------------------------------------------------------
 
+_FINE = 1024  # cells that an uneven cell is cut into
+_PER_OCTAVE = 128
+
+
+def _octave_cell(v: Column) -> Column:
+    """A whole number that rises with the value: 128 cells from each power of two to the next, on either side of 0."""
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * _PER_OCTAVE) + 150_000  # above 0 for the smallest double
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+
+
+def value_borders(df: DataFrame, value: str, parts: int) -> list[float]:
+    """At most ``parts - 1`` ascending borders between buckets of even size; a bucket of one value may be larger.
+
+    Rows are counted by cells of value, combined where they are read. Where more than one bucket ends in a cell, its rows
+    are counted again by finer cells within their range, until the range is one value; six rounds reach the last bit of a
+    double. Each round is one narrow read; the driver sees cells at which a bucket ends, at most ``parts`` of them.
+    """
+    rows = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    order = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a bounded number of cells
+    counts = rows.groupBy(_octave_cell(F.col("_v")).alias("_cell")).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+
+    def ends(at: Column) -> Column:  # buckets that end within the first ``at`` rows
+        return F.floor(at * parts / F.col("total"))
+    cells = counts.filter(ends(F.col("before")) < ends(F.col("before") + F.col("n"))).orderBy("low").collect()
+    total, borders = (cells[0]["total"] if cells else 0), set()
+    for _ in range(7):
+        wide = []
+        for c in cells:
+            if c["n"] * parts <= total or c["low"] == c["high"]:  # small, or one value: it is a bucket's beginning
+                borders.add(c["low"])
+            else:
+                wide.append(c)
+        if not wide:
+            break
+        splits = [float("-inf"), *(x for c in wide for x in (c["low"], math.nextafter(c["high"], math.inf))), float("inf")]
+        ranges = df.sparkSession.createDataFrame([(float(2 * i + 1), c["low"], c["high"], c["before"]) for i, c in enumerate(wide)],
+                                                 "_in double, _low double, _high double, _before long")
+        inside = Bucketizer(splits=sorted(set(splits)), inputCol="_v", outputCol="_in").transform(rows).join(F.broadcast(ranges), "_in")
+        half = F.col("_v") / 2 - F.col("_low") / 2, F.col("_high") / 2 - F.col("_low") / 2  # halves cannot overflow
+        fine = F.least(F.floor(half[0] / half[1] * _FINE), F.lit(_FINE - 1))
+        found = inside.groupBy("_in", "_before", fine.alias("_cell")).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        within = Window.partitionBy("_in").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most _FINE rows
+        found = found.withColumn("before", F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("total", F.lit(total))
+        cells = found.filter(ends(F.col("before")) < ends(F.col("before") + F.col("n"))).orderBy("low").collect()
+    else:
+        borders.update(c["low"] for c in cells)
+    return sorted(borders)
+
+
 def bucket_by_value(df: DataFrame, value: str, parts: int | None = None) -> DataFrame:
     """Add a value-ordered ``_bucket``; equal values share a bucket.
 
-    The borders are approximate quantiles of the data (at most ``parts`` numbers reach the
-    driver), so buckets are even whatever the distribution.
+    Borders come from the data (at most ``parts`` numbers reach the driver), so buckets are even whatever the distribution.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2, min(parts, 10_000))
-    probs = [i / parts for i in range(1, parts)]
-    borders = df.agg(F.percentile_approx(value, probs, max(1000, 4 * parts)).alias("b")).first()["b"] or []
-    cuts = sorted(set(borders))
+    parts = max(2, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [c for c in value_borders(df, value, parts) if math.isfinite(c)]
     if not cuts:
         return df.withColumn("_bucket", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
+    return Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol="_bucket").transform(df)
 
 
 def _buckets(df: DataFrame, value: str, by: Sequence[str], parts: int | None) -> DataFrame:

@@ -118,11 +118,11 @@ def kolmogorov_smirnov(df: DataFrame, column: str, by: Sequence[str] = ()) -> Da
     ranks = value_ranks(df, column, by)
     fit = df.groupBy(*by).agg(F.avg(column).alias("_mu"), F.stddev_pop(column).alias("_sd"))
     z = F.try_divide(F.col(column) - F.col("_mu"), F.col("_sd"))  # a constant group keeps its row, without a statistic
-    tail = two_sided_normal(z) / 2
-    cdf = F.when(z < 0, tail).otherwise(1 - tail)
-    n = F.col("n_total")
-    gap = F.when(z.isNotNull(), F.greatest(F.abs((F.col("n_below") + F.col("n_equal")) / n - cdf), F.abs(cdf - F.col("n_below") / n)))
-    d = _attach(ranks, fit, by).groupBy(*by).agg(
+    placed = _attach(ranks, fit, by).withColumn("_z", z).withColumn("_tail", two_sided_normal(F.col("_z")) / 2)
+    placed = placed.withColumn("_cdf", F.when(F.col("_z") < 0, F.col("_tail")).otherwise(1 - F.col("_tail")))
+    n, cdf = F.col("n_total"), F.col("_cdf")
+    gap = F.when(cdf.isNotNull(), F.greatest(F.abs((F.col("n_below") + F.col("n_equal")) / n - cdf), F.abs(cdf - F.col("n_below") / n)))
+    d = placed.groupBy(*by).agg(
         F.max(gap).alias("statistic"), F.max(n).alias("n")
     )
     root = F.sqrt(F.col("n").cast("double"))
@@ -256,26 +256,36 @@ def kruskal_wallis(df: DataFrame, column: str, group: str, by: Sequence[str] = (
 def autocorrelation(df: DataFrame, column: str, lags: int = 48, order: Order = PLANT_ORDER) -> DataFrame:
     """Autocorrelation at lags 0..``lags`` (denominator n) with the Bartlett 95 % band.
 
-    One pass over row blocks with a halo of ``lags`` rows gives every lagged product.
+    Row blocks with a halo of ``lags`` rows give lagged products, and the sums of their two factors, in one aggregate per series;
+    the mean is taken out of the sums afterwards. Values are counted from one of them, so that a large mean costs no digits.
     """
     keys = list(order.keys)
     rows = df.filter(F.col(column).isNotNull()).select(*keys, order.time, *order.ties, column)
-    centre = rows.groupBy(*keys).agg(F.avg(column).alias("_mu"))
-    e = rows.join(centre, keys).withColumn("_e", F.col(column) - F.col("_mu"))
+    e = with_scalars(rows, rows.select(F.col(column).alias("_at"))).withColumn("_e", F.col(column) - F.col("_at"))
     shifted = halo_window(e, {f"_l{k}": (lambda w, k=k: F.lag("_e", k).over(w)) for k in range(1, lags + 1)},
                           lags, order=order).withColumn("_l0", F.col("_e"))
     sums = shifted.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_s{k}")
-                                   for k in range(lags + 1)]
-    )
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_s{k}").alias("_s")) for k in range(lags + 1)])
-    long = sums.select(*keys, "n", F.col("_s0").alias("_c0"), F.inline(pairs))
+        F.count("*").alias("n"), F.avg("_e").alias("_mu"), F.max("_e").alias("_hi"), F.min("_e").alias("_lo"),
+        *[c for k in range(lags + 1) for c in (
+            F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"_p{k}"),
+            F.sum(F.when(F.col(f"_l{k}").isNotNull(), F.col("_e") + F.col(f"_l{k}"))).alias(f"_f{k}"), F.count(f"_l{k}").alias(f"_n{k}"))])
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.coalesce(
+        F.col(f"_p{k}") - F.col("_mu") * F.col(f"_f{k}") + F.col(f"_n{k}") * F.col("_mu") * F.col("_mu"), F.lit(0.0)).alias("_s")) for k in range(lags + 1)])
+    spread = F.when(F.col("_hi") > F.col("_lo"), F.col("_p0") - F.col("n") * F.col("_mu") * F.col("_mu"))
+    long = sums.select(*keys, "n", spread.alias("_c0"), F.inline(pairs))
     return long.select(  # a constant series has no correlation, but keeps its rows
         *keys, "lag", "n", F.try_divide("_s", "_c0").alias("acf"),
         (1.959963984540054 / F.sqrt(F.col("n").cast("double"))).alias("band"),
     )
 
 
+def significant_lags(acf: DataFrame, keys: Sequence[str] = (C.PLANT,)) -> DataFrame:
+    """Per series: lags above 0 whose autocorrelation leaves the band, of how many, and the last of them."""
+    outside = F.abs("acf") > F.col("band")
+    return acf.filter(F.col("lag") > 0).groupBy(*keys).agg(
+        F.count_if(outside).alias("n_significant"), F.count("*").alias("n_lags"), F.max(F.when(outside, F.col("lag"))).alias("last_significant"))
+
+
 def ljung_box(acf: DataFrame, tests: Sequence[int] = (1, 4, 8, 16, 24, 48), keys: Sequence[str] = (C.PLANT,)) -> DataFrame:
     """Q and p-value at several lags from the autocorrelation table."""
     keys = list(keys)

@@ -154,6 +154,6 @@ def test_queries_over_all_stations_and_hours(spark):
     from heliofleet.checks import load_all
 
     queries, d = load_all()[0], "/root/testdata/sf0.001"
-    assert {r["station"] for r in queries["missing_days_of_all_stations"](spark, d).collect()} == {f"ST{i}" for i in range(6)}
-    both = queries["hour_series_all_hours"](spark, d)
+    assert {r["station"] for r in queries["missing_station_days"](spark, d).collect()} == {f"ST{i}" for i in range(6)}
+    both = queries["hour_series_side_by_side"](spark, d)
     assert both.filter("hour >= 16 AND with_lag IS NOT NULL").count() and both.filter("hour <= 8 AND without_lag IS NOT NULL").count()
