@@ -4,9 +4,9 @@ Patterns are the windows of ``n`` consecutive words of every benchmark item (a s
 length). For each pattern length a shift table over two-word blocks says how far the search may jump; where the shift is 0,
 the bucket of the block that ends there names the patterns to test, and their words are compared one by one and then as bytes.
 
-Scale: documents are never shuffled. The patterns are cut by hash into sets of about ``max_patterns`` (window, item) pairs;
-each set is one map pass that adds its hits to those of the passes before, so what a task holds is bounded for benchmarks of
-any size. Long documents are searched as many short lanes at once.
+Scale: documents are never shuffled. The patterns are cut by hash into sets of about ``max_patterns`` different windows; each set is
+one map pass that adds its hits to those of the passes before, so what driver and tasks hold is bounded for benchmarks of any size.
+Item ids never travel with the patterns: Spark joins them to the windows that were found. Long documents are searched as many short lanes at once.
 
 Null or empty text has no words and no hits; items without words have no windows; items with a null id mark words as hit but
 are not listed. Repeated documents or items are treated like any other rows. Other columns are ignored.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, table, with_text_columns
+from .shared import fresh, stored, table, with_text_columns
 from .words import ALNUM, Words, mix, words_of
 
 LANE = 512
@@ -91,36 +91,34 @@ def _item_windows(n: int):
     return compute
 
 
-def _tables(rows: list) -> list[tuple[PatternSet, list[list[str]]]]:
-    """Pattern sets by length, each with the item ids of its patterns."""
-    by_length: dict[int, dict[str, list[str]]] = defaultdict(dict)
-    for r in rows:
-        by_length[r["window"].count(" ") + 1][r["window"]] = r["ids"]
+def _tables(windows: list[str]) -> list[PatternSet]:
+    """Pattern sets by length."""
+    by_length: dict[int, list[bytes]] = defaultdict(list)
+    for w in windows:
+        by_length[w.count(" ") + 1].append(w.encode())
     out = []
-    for m, windows in sorted(by_length.items()):
-        texts = [w.encode() for w in windows]
+    for m, texts in sorted(by_length.items()):
         data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-        made = PatternSet(texts, words_of(data, bounds, ALNUM).hash.reshape(-1, m))
-        out.append((made, [windows[t.decode()] for t in made.patterns]))
+        out.append(PatternSet(texts, words_of(data, bounds, ALNUM).hash.reshape(-1, m)))
     return out
 
 
-def _search(tables, hit: str | None, ids: str | None):
+def _search(tables: list[PatternSet], hit: str | None, seen: str | None):
     def compute(rows, data, bounds):
         words = words_of(data, bounds, ALNUM)
         edge = np.zeros(len(words.hash) + 1, np.int64)
         found: dict[int, set[str]] = defaultdict(set)
-        for patterns, names in tables:
+        for patterns in tables:
             begin, which = patterns.occurrences(data, words)
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + patterns.m, -1)
             for row, p in zip((np.searchsorted(words.first, begin, "right") - 1).tolist(), which.tolist(), strict=True):
-                found[row].update(names[p])
+                found[row].add(patterns.patterns[p].decode())
         covered = np.cumsum(edge[:-1]) > 0
         if hit:
             for row, places in enumerate(rows.column(rows.schema.get_field_index(hit)).to_pylist()):
                 covered[words.first[row] + np.array(places, np.int64)] = True
-            for row, known in enumerate(rows.column(rows.schema.get_field_index(ids)).to_pylist()):
+            for row, known in enumerate(rows.column(rows.schema.get_field_index(seen)).to_pylist()):
                 if known:
                     found[row].update(known)
         at = np.flatnonzero(covered)
@@ -131,21 +129,26 @@ def _search(tables, hit: str | None, ids: str | None):
     return compute
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = 13, max_patterns: int = 200_000) -> tuple[DataFrame, list[str]]:
-    """``keep`` columns of ``docs`` and three more, whose names are returned too: number of words, places of the words that are
-    hit (from 0), ids of the items whose windows occur."""
+def windows_of(benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """Distinct (item_id as text, window)."""
     pair = T.StructType([T.StructField("windows", T.ArrayType(T.StringType()))])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    pairs = (with_text_columns(items, _item_windows(n), pair, ["item_id"])
-             .select("item_id", F.explode("windows").alias("window")).distinct())
-    sets = max(1, -(-pairs.count() // max_patterns))
+    return (with_text_columns(items, _item_windows(n), pair, ["item_id"])
+            .select("item_id", F.explode("windows").alias("window")).distinct())
+
+
+def contamination(docs: DataFrame, pairs: DataFrame, keep: list[str], max_patterns: int = 200_000) -> tuple[DataFrame, list[str]]:
+    """``keep`` columns of ``docs`` and three more, whose names are returned too: number of words, places of the words that are
+    hit (from 0), windows that occur. ``pairs`` are those of ``windows_of``."""
+    windows = pairs.select("window").distinct()
+    sets = max(1, -(-windows.count() // max_patterns))
     bucket = F.pmod(F.xxhash64("window"), F.lit(sets))
-    names = [fresh(docs.columns, x) for x in ("n_words_", "hit_", "items_")]
+    names = [fresh(docs.columns, x) for x in ("n_words_", "hit_", "windows_")]
     fields = T.StructType([T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())),
                            T.StructField(names[2], T.ArrayType(T.StringType()))])
     out = docs
     for k in range(sets):
-        rows = pairs.filter(bucket == k).groupBy("window").agg(F.collect_set("item_id").alias("ids")).collect()
+        rows = [r["window"] for r in windows.filter(bucket == k).collect()]
         own = keep if k == sets - 1 else list(dict.fromkeys([*keep, "text"]))
         if k:
             out = out.withColumnsRenamed({c: f"{c}before" for c in names})
@@ -155,17 +158,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int
     return out, names
 
 
+def items_of(found: DataFrame, windows: str, pairs: DataFrame) -> DataFrame:
+    """``items``, the sorted ids of all items whose windows a row of ``found``, a written table with a ``row``, holds: by ``row``."""
+    hits = found.select("row", F.explode(windows).alias("window"))
+    return hits.join(pairs, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
 def is_contaminated(n_words: str, hit: str):
     return (F.size(hit) > 0) & (20 * F.size(hit) >= F.col(n_words))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a 13-word window of a benchmark item."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, (n_words, hit, items) = contamination(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
-    return found.select(
+    docs, pairs = table(spark, sf_dir, "documents").select("doc_id", "text"), stored(windows_of(table(spark, sf_dir, "benchmark")), "windows")
+    found, (n_words, hit, windows) = contamination(docs, pairs, ["doc_id"])
+    found = stored(found, "found").withColumn("row", F.monotonically_increasing_id())
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return found.join(stored(items_of(found, windows, pairs), "items"), "row", "left").select(
         "doc_id", F.col(n_words).alias("n_words"), F.size(hit).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         is_contaminated(n_words, hit).alias("contaminated"))
 
 

@@ -81,7 +81,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int
     """All pieces with sequence_id and offset."""
     pieces = stored(pieces_of(docs, vocabulary, capacity), "pieces")
     bins = max(1, -(-pieces.count() // group))
-    spread = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(bins)).cast("int"))
+    row = F.monotonically_increasing_id()  # of the written table, so that a repeated doc_id is spread too
+    spread = pieces.withColumn("bin", F.pmod(F.xxhash64(row), F.lit(bins)).cast("int"))
     dealt = spread.repartitionByRange(bins, "bin").sortWithinPartitions("bin", F.desc("length"), "doc_id", "piece")
 
     def run(batches):

@@ -2,10 +2,11 @@
 
 A shard ``NNNNNNNN.records`` is a run of frames: length (u64), masked CRC-32 of the length (u32), payload, masked CRC-32 of the
 payload (u32), all little-endian. A payload is doc_id (i64), a byte that is 1 if doc_id is null, and the ids as unsigned
-integers of 2 bytes if all fit, else 4 (another byte). ``<shard>.index`` holds 24 bytes a record: frame offset, frame length and
+integers of 2 bytes if all fit, else 4 (another byte tells). ``<shard>.index`` holds 24 bytes a record: frame offset, frame length and
 number of ids (u64 each), so readers can visit records of any shard in any order. Shards follow each other in ascending doc_id
 order (null first; equal ids by text hash).
 
+Texts are encoded where they are read; packed ids are written once and shuffled by range of doc_id (a row number splits ties).
 Tasks write through Arrow's file systems into a folder that all executors share, under a name of the attempt, and rename when
 a shard is complete; a task that runs again replaces its own shard with the same bytes. Memory is bounded: frames are written
 and read as a stream. Every length and checksum is verified on reading.
@@ -57,9 +58,14 @@ def unframe(stream) -> bytes | None:
     return body[:size]
 
 
-def payload_of(doc_id: int | None, ids: np.ndarray) -> bytes:
+def packed_ids(ids: np.ndarray) -> bytes:
+    """A byte that is 1 if an id needs 4 bytes, then the ids."""
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return struct.pack("<q??", doc_id or 0, doc_id is None, wide) + ids.astype("<u4" if wide else "<u2").tobytes()
+    return bytes([wide]) + ids.astype("<u4" if wide else "<u2").tobytes()
+
+
+def payload_of(doc_id: int | None, packed: bytes) -> bytes:
+    return struct.pack("<q?", doc_id or 0, doc_id is None) + packed
 
 
 def read_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -67,35 +73,59 @@ def read_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if missing else doc_id, np.frombuffer(payload, "<u4" if wide else "<u2", offset=10).astype("<u4")
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with its file system, as Spark resolves it; a worker would take a bare path for its own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _file_system(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, hash of the text, packed ids and their number, encoded where the text is read and written once."""
+    workers_see_package(docs.sparkSession)
+
+    def run(batches):
+        enc = encoder(vocabulary)
+        for batch in batches:
+            for rows, _, _ in slices(batch):
+                ids = [np.frombuffer(x + END, "<u4") for x in enc.ids([t or "" for t in rows.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([packed_ids(x) for x in ids], pa.binary()),
+                                                  pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "hash", "packed", "n"])
+    return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, packed binary, n long"), "encoded")
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
     """Encode ``docs`` and write shards into ``folder``; a table of shard, number of records and number of ids."""
-    workers_see_package(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    shards = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // SHARD_ROWS + 1)
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    folder = qualified(docs.sparkSession, folder)
+    rows = encoded(docs, vocabulary).withColumn("row", F.monotonically_increasing_id())  # against ties
+    shards = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // SHARD_ROWS + 1)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "packed", "n")
 
     def run(batches):
         files, root = _file_system(folder)
         files.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
         name, attempt = f"{root}/{shard:08d}.records", uuid.uuid4().hex
-        enc, at, records, total = encoder(vocabulary), 0, 0, 0
+        at, records, total = 0, 0, 0
         with files.open_output_stream(f"{name}.{attempt}") as out, files.open_output_stream(f"{name}.index.{attempt}") as index:
             for batch in batches:
-                for rows, _, _ in slices(batch):
-                    for doc_id, ids in zip(rows.column(0).to_pylist(), enc.ids([t or "" for t in rows.column(1).to_pylist()]), strict=True):
-                        ids = np.frombuffer(ids + END, "<u4")
-                        framed = frame(payload_of(doc_id, ids))
-                        out.write(framed)
-                        index.write(struct.pack("<QQQ", at, len(framed), len(ids)))
-                        at, records, total = at + len(framed), records + 1, total + len(ids)
+                for low in range(0, batch.num_rows, 1000):
+                    some, framed, places = batch.slice(low, 1000), [], []
+                    for doc_id, packed, n in zip(*(some.column(c).to_pylist() for c in range(3)), strict=True):
+                        framed.append(frame(payload_of(doc_id, packed)))
+                        places.append(struct.pack("<QQQ", at, len(framed[-1]), n))
+                        at, total = at + len(framed[-1]), total + n
+                    out.write(b"".join(framed))
+                    index.write(b"".join(places))
+                    records += some.num_rows
         files.move(f"{name}.{attempt}", name)
         files.move(f"{name}.index.{attempt}", f"{name}.index")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "records": pa.array([records], pa.int64()),
@@ -105,6 +135,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
 
 def read_records(shards: DataFrame, folder: str) -> DataFrame:
     """Every record of the shards in file order: doc_id, start (ids of all records before it), n_tokens, ids_crc32."""
+    folder = qualified(shards.sparkSession, folder)
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row a shard
     places = shards.withColumn("before", F.coalesce(before, F.lit(0)))
     places = places.repartition(max(1, shards.sparkSession.sparkContext.defaultParallelism), "shard")

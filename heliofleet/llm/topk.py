@@ -9,10 +9,10 @@ to no others. Scores are exact integers; a ring keeps only what reaches the boun
 
 Scale: pivots are a fixed number from a bounded sample (any choice gives exact results). Rings are cut by range partitioning on
 (pivot, distance, vec_id), so thousands of equal vectors are split by vec_id. Queries travel in blocks of at most
-``BLOCK``; rings and query blocks meet by pivot.
+``BLOCK``; rings and query blocks meet by pivot where the distances that the bounds leave open touch the ring.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as padded with zeros. Rows that
-repeat a vec_id are candidates of their own, except for queries of the same id. A null vec_id is a candidate that comes last
+repeat a vec_id are candidates of their own, except for queries of the same id; as queries each has its own ranks. A null vec_id is a candidate that comes last
 among ties, and no query. Scores are exact while they stay below 2^53.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ PIVOTS = 16
 CHUNK = 2048
 BLOCK = 128
 SAMPLE = 4096
+ROWS = 1 << 10  # numbers kept for the queries of a block
 LAST = np.iinfo(np.int64).max
 
 
@@ -108,6 +110,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     index = stored(index.withColumn("ring", F.monotonically_increasing_id()), "rings")
 
     def packed(batches):
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for i in range(0, len(batch), block):
                 some = batch.slice(i, block)
@@ -115,23 +118,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
                 far = _distances(x, np.zeros(len(x)), centres)
                 count = len(centres)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(count, dtype=np.int32)), pa.array([some.column(0).to_numpy().astype("<i8").tobytes()] * count, pa.binary()),
+                    pa.array([number] * count, pa.int64()), pa.array(np.arange(count, dtype=np.int32)),
+                    pa.array([some.column(0).to_numpy().astype("<i8").tobytes()] * count, pa.binary()),
                     pa.array([x.tobytes()] * count, pa.binary()), pa.array([np.ascontiguousarray(far[:, p]).tobytes() for p in range(count)], pa.binary()),
-                    pa.array(far.min(0)), pa.array(far.max(0))], names=["pivot", "qids", "qs", "fars", "least", "most"])
-    blocks = asked.filter(F.col("vec_id") < int(LAST)).mapInArrow(
-        packed, "pivot int, qids binary, qs binary, fars binary, least double, most double")
-    blocks = stored(blocks.withColumn("part", F.monotonically_increasing_id()), "blocks")
+                    pa.array(far.min(0)), pa.array(far.max(0))], names=["block", "pivot", "qids", "qs", "fars", "least", "most"])
+                number += 1
+    blocks = stored(asked.filter(F.col("vec_id") < int(LAST)).mapInArrow(
+        packed, "block long, pivot int, qids binary, qs binary, fars binary, least double, most double"), "blocks")
+
+    def radii(r, bounds):
+        q = np.frombuffer(r["qs"]).reshape(len(bounds), -1)
+        return np.sqrt(np.maximum((q * q).sum(1) + top - 2 * bounds, 0)) + 1e-3
 
     def search(bounded):
         def run(batches):
             for batch in batches:
-                found = [[], [], []]
+                found = [[], [], [], []]
                 for r in batch.to_pylist():
                     qids, ids = np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["ids"], "<i8")
                     bounds = np.frombuffer(r["bounds"]) if bounded else np.full(len(qids), -np.inf)
                     fars = np.frombuffer(r["fars"])
                     q = np.frombuffer(r["qs"]).reshape(len(qids), -1)
-                    radius = np.sqrt(np.maximum((q * q).sum(1) + top - 2 * bounds, 0)) + 1e-3
+                    radius = radii(r, bounds)
                     live = np.flatnonzero((fars - radius <= r["high"]) & (fars + radius >= r["low"]))
                     if not len(live):
                         continue
@@ -139,32 +147,43 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
                     for s, i in zip(scores, live, strict=True):
                         ok = np.flatnonzero((ids != qids[i]) & (s >= bounds[i]))
                         ok = ok[_best(s[ok], ids[ok], k)]
-                        found[0].append(np.full(len(ok), qids[i]))
-                        found[1].append(ids[ok])
-                        found[2].append(s[ok].astype(np.int64))
+                        found[0].append(np.full(len(ok), r["block"] * ROWS + i))
+                        found[1].append(np.full(len(ok), qids[i]))
+                        found[2].append(ids[ok])
+                        found[3].append(s[ok].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in found],
-                                                 names=["query_id", "vec_id", "score"])
+                                                 names=["query", "query_id", "vec_id", "score"])
         return run
 
-    hits, best = "query_id long, vec_id long, score long", Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits, best = "query long, query_id long, vec_id long, score long", Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     # First annuli: for every block the ring of each pivot whose distances are nearest to the block's own.
     gap = F.greatest(F.lit(0.0), F.col("low") - F.col("most"), F.col("least") - F.col("high"))
-    near = blocks.select("part", "pivot", "least", "most").join(index.select("pivot", "ring", "low", "high"), "pivot").groupBy("part", "pivot").agg(
+    near = blocks.select("block", "pivot", "least", "most").join(index.select("pivot", "ring", "low", "high"), "pivot").groupBy("block", "pivot").agg(
         F.min_by("ring", gap).alias("ring"))
-    first = blocks.join(near, ["part", "pivot"]).join(index.drop("pivot"), "ring")
-    kth = first.mapInArrow(search(False), hits).groupBy("query_id").agg(
-        F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("s")).select("query_id", F.coalesce(F.get("s", F.lit(0)), F.lit(-(2**62))).alias("s"))
-    kth = stored(kth, "bounds")
+    first = blocks.join(near, ["block", "pivot"]).join(index.drop("pivot"), "ring")
+    kth = first.mapInArrow(search(False), hits).groupBy("query").agg(
+        F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("s")).select("query", F.get("s", F.lit(0)).alias("s"))
+    kth = stored(kth.filter("s is not null").withColumn("block", F.floor(F.col("query") / ROWS)), "bounds")
 
     def with_bounds(left, right):
-        known = dict(zip(right.column("query_id").to_pylist(), right.column("s").to_pylist(), strict=True))
-        rows = [np.array([known.get(i, -(2**62)) for i in np.frombuffer(b, "<i8").tolist()], float).tobytes() for b in left.column("qids").to_pylist()]
-        return left.select(["part", "pivot"]).append_column("bounds", pa.array(rows, pa.binary()))
-    asked_in = blocks.filter("pivot = 0").select("part", "qids").mapInArrow(_ids_of, "part long, query_id long")
-    by_part = blocks.select("part", "pivot", "qids").groupBy("part").cogroup(asked_in.join(kth, "query_id").groupBy("part")).applyInArrow(
-        with_bounds, "part long, pivot int, bounds binary")
-    ready = blocks.join(by_part, ["part", "pivot"])
-    every = ready.join(index, "pivot").mapInArrow(search(True), hits)
+        """Bounds of the block's queries, and how far from each pivot they reach."""
+        known = dict(zip(right.column("query").to_pylist(), right.column("s").to_pylist(), strict=True))
+        rows = []
+        for r in left.to_pylist():
+            fars = np.frombuffer(r["fars"])
+            bounds = np.array([known.get(r["block"] * ROWS + i, -(2**62)) for i in range(len(fars))], float)
+            radius = radii(r, bounds)
+            rows.append((r["block"], r["pivot"], bounds.tobytes(), float((fars - radius).min()), float((fars + radius).max())))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "pivot", "bounds", "inner", "outer"])
+    reach = blocks.select("block", "pivot", "qs", "fars").groupBy("block").cogroup(kth.groupBy("block")).applyInArrow(
+        with_bounds, "block long, pivot int, bounds binary, inner double, outer double")
+    # Rings meet the blocks whose annuli they touch. A pivot's rings are dealt to several keys, so that no pivot is one task.
+    deal = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(centres)))
+    ready = blocks.join(reach, ["block", "pivot"]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    dealt = index.withColumn("deal", F.pmod(F.xxhash64("ring"), F.lit(deal)).cast("int"))
+    touching = (F.col("high") >= F.col("inner")) & (F.col("low") <= F.col("outer"))
+    every = ready.join(dealt, ["pivot", "deal"]).filter(touching).mapInArrow(search(True), hits)
     out = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", F.nullif("vec_id", F.lit(int(LAST))).alias("vec_id"), "score")
 
@@ -178,13 +197,6 @@ def _ring(held: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
         "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "xs": pa.array([x.tobytes()], pa.binary())})
 
 
-def _ids_of(batches):
-    for batch in batches:
-        ids = [np.frombuffer(b, "<i8") for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(i) for i in ids])),
-                                          pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())], names=["part", "query_id"])
-
-
 def op10_topk(spark, sf_dir: str) -> DataFrame:
     """The 10 highest inner products of every hundredth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

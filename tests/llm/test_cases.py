@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from heliofleet.llm import decontaminate, licenses, lm, neardup, packing, quality, records, secrets, suffixes, topk
-from heliofleet.llm.shared import crc_fold, new_path
+from heliofleet.llm.shared import crc_fold, new_path, stored
 from heliofleet.llm.tokens import default_vocabulary
 
 PASSAGE = " ".join(f"word{i}x{i * 7 % 13}" for i in range(70))
@@ -139,7 +140,7 @@ def test_records_round_trip(spark, docs, none):
 def test_damaged_records():
     import io
 
-    whole = records.frame(records.payload_of(7, np.array([1, 70_000])))
+    whole = records.frame(records.payload_of(7, records.packed_ids(np.array([1, 70_000]))))
     assert records.read_payload(records.unframe(io.BytesIO(whole)))[1].tolist() == [1, 70_000]
     for i in (0, 9, 20, len(whole) - 1):
         broken = bytearray(whole)
@@ -167,13 +168,35 @@ def test_widely_copied_secrets_are_examples(spark):
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, PASSAGE), (2, "One two"), (None, "one TWO"), (3, None), (4, ""), (2, "One two"), (5, "x " + PASSAGE[:40])],
                                   "item_id long, text string")
+    pairs = decontaminate.windows_of(items)
     for size in (200_000, 20):
-        found, (n_words, hit, ids) = decontaminate.contamination(docs, items, ["doc_id", "n_words"], max_patterns=size)
-        got = {r.doc_id: (r[n_words], len(r[hit]), sorted(r[ids])) for r in found.collect()}
+        found, (n_words, hit, windows) = decontaminate.contamination(docs, pairs, ["doc_id", "n_words"], max_patterns=size)
+        found = stored(found, "found").withColumn("row", F.monotonically_increasing_id())
+        found = found.join(decontaminate.items_of(found, windows, pairs), "row", "left")
+        got = {r.doc_id: (r[n_words], len(r[hit]), r["items"] or []) for r in found.collect()}
         assert got[0] == (70, 70, ["1"]) and got[1] == (74, 70, ["1"]) and got[2] == (0, 0, []) and got[6] == (2, 2, ["2"]) == got[7]
-    found, names = decontaminate.contamination(docs, items.limit(0), ["doc_id"])
+    found, names = decontaminate.contamination(docs, pairs.limit(0), ["doc_id"])
     assert all(r[names[1]] == [] for r in found.collect())
-    assert decontaminate.contamination(none, items, ["doc_id"])[0].count() == 0
+    assert decontaminate.contamination(none, pairs, ["doc_id"])[0].count() == 0
+
+
+def test_place_is_the_plain_sum_of_squares():
+    rng = np.random.default_rng(8)
+    sizes = np.sort(rng.integers(1, 65, 400))[::-1].copy()
+    rng.shuffle(sizes[200:])
+    sequence, offset = packing.place(sizes, 64)
+    gaps, left = Counter(), {}
+    for size, own, at in zip(sizes.tolist(), sequence.tolist(), offset.tolist(), strict=True):
+        def squares(g, size=size):
+            after = gaps - Counter([g]) + Counter([g - size] if g > size else [])
+            return sum(n * n for n in after.values())
+        fit = [g for g in sorted(gaps) if g >= size and gaps[g]]
+        want = min(fit, key=squares) if fit else 64
+        assert left.get(own, 64) == want == 64 - at
+        if own in left:
+            gaps -= Counter([want])
+        left[own] = want - size
+        gaps += Counter([want - size] if want > size else [])
 
 
 def test_packing(docs, none):
@@ -237,13 +260,14 @@ def test_top_k(spark):
     rows += [(500 + i, rows[0][1]) for i in range(40)] + [(0, rows[5][1]), (None, rows[7][1]), (600, [])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = [(i, np.floor(1024 * np.array(x)) if x else np.zeros(8)) for i, x in rows if x is not None and all(y is not None and np.isfinite(y) for y in x)]
-    want = set()
+    want = Counter()
     for q, x in whole:
         if q is not None and q % 100 == 0:
             best = sorted((-int(x @ y), i is None, i or 0) for i, y in whole if i != q)[:10]
-            want |= {(q, -s, None if n else i) for s, n, i in best} if q else set()
-    got = topk.top_k(v, v.filter("vec_id % 100 = 0"), chunk=16).collect()
-    assert {(r.query_id, r.score, r.vec_id) for r in got if r.query_id} == want
+            want.update((q, rank, -s, None if n else i) for rank, (s, n, i) in enumerate(best, 1))
+    for block in (128, 2):
+        got = topk.top_k(v, v.filter("vec_id % 100 = 0"), chunk=16, block=block).collect()
+        assert Counter((r.query_id, r.rank, r.score, r.vec_id) for r in got) == want
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
