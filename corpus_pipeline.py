@@ -30,7 +30,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
-    found, (n_words, hit, _) = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
+    found, (n_words, hit, _) = decontaminate.contamination(docs, decontaminate.windows_of(table(spark, sf_dir, "benchmark")), docs.columns)
     return found.filter(~decontaminate.is_contaminated(n_words, hit)).select(docs.columns)
 
 
