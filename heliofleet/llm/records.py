@@ -4,9 +4,9 @@ A shard ``NNNNNNNN.records`` is a run of frames: length (u64), masked CRC-32 of
 payload (u32), all little-endian. A payload is doc_id (i64), a byte that is 1 if doc_id is null, and the ids as unsigned
 integers of 2 bytes if all fit, else 4 (another byte tells). ``<shard>.index`` holds 24 bytes a record: frame offset, frame length and
 number of ids (u64 each), so readers can visit records of any shard in any order. Shards follow each other in ascending doc_id
-order (null first; equal ids by text hash).
+order (null first; equal ids in the order they are read).
 
-Texts are encoded where they are read; packed ids are written once and shuffled by range of doc_id (a row number splits ties).
+Texts are encoded where they are read, and packed ids are shuffled once, to shards of even size by ranges of (doc_id, row number).
 Tasks write through Arrow's file systems into a folder that all executors share, under a name of the attempt, and rename when
 a shard is complete; a task that runs again replaces its own shard with the same bytes. Memory is bounded: frames are written
 and read as a stream. Every length and checksum is verified on reading.
@@ -32,6 +32,7 @@ from .tokens import default_vocabulary, encoder
 END = np.array([0], "<u4").tobytes()
 MASK = 0xA282EAD8
 SHARD_ROWS = 20_000
+LEAST = -(1 << 63)
 
 
 def masked(data: bytes) -> int:
@@ -87,27 +88,46 @@ def _file_system(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, hash of the text, packed ids and their number, encoded where the text is read and written once."""
-    workers_see_package(docs.sparkSession)
+def _shard_starts(keys: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First (doc_id, row) of each shard of about ``rows`` rows, from a range partitioning of these two numbers; two numbers a shard."""
+    shards = max(keys.sparkSession.sparkContext.defaultParallelism, keys.count() // rows + 1)
+    dealt = keys.repartitionByRange(shards, "key", "row").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "row")).alias("first"))
+    firsts = sorted((r["first"]["key"], r["first"]["row"]) for r in dealt.collect()) or [(LEAST, 0)]
+    return np.array([f[0] for f in firsts]), np.array([f[1] for f in firsts])
+
+
+def _shard_of(key: np.ndarray, row: np.ndarray, starts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Last shard that starts at or before each (key, row); the first shard takes what comes before."""
+    order = np.lexsort((np.concatenate((row, starts[1])), np.concatenate((key, starts[0]))))
+    is_start = order >= len(key)
+    # A row equal to a start sorts before it here (lexsort is stable): it belongs to the shard before, which keeps the order.
+    out = np.empty(len(key), np.int64)
+    out[order[~is_start]] = np.cumsum(is_start)[~is_start]
+    return np.maximum(out - 1, 0)
 
+
+def encoded(keyed: DataFrame, vocabulary: str, starts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Shard, doc_id, key, row, packed ids and their number, encoded where the text is read."""
     def run(batches):
         enc = encoder(vocabulary)
         for batch in batches:
             for rows, _, _ in slices(batch):
                 ids = [np.frombuffer(x + END, "<u4") for x in enc.ids([t or "" for t in rows.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([packed_ids(x) for x in ids], pa.binary()),
-                                                  pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "hash", "packed", "n"])
-    return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, packed binary, n long"), "encoded")
+                part = _shard_of(rows.column(2).to_numpy(), rows.column(3).to_numpy(), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), rows.column(0), rows.column(2), rows.column(3), pa.array([packed_ids(x) for x in ids], pa.binary()),
+                                                  pa.array([len(x) for x in ids], pa.int64())], names=["part", "doc_id", "key", "row", "packed", "n"])
+    return keyed.mapInArrow(run, "part int, doc_id long, key long, row long, packed binary, n long")
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
     """Encode ``docs`` and write shards into ``folder``; a table of shard, number of records and number of ids."""
     folder = qualified(docs.sparkSession, folder)
-    rows = encoded(docs, vocabulary).withColumn("row", F.monotonically_increasing_id())  # against ties
-    shards = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // SHARD_ROWS + 1)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
-    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "packed", "n")
+    workers_see_package(docs.sparkSession)
+    # Null sorts first: it and the smallest number share a key, and the flag sorts them.
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LEAST)).alias("key"), F.monotonically_increasing_id().alias("row"))
+    starts = _shard_starts(keyed.select("key", "row"), SHARD_ROWS)
+    ordered = encoded(keyed, vocabulary, starts).repartitionById(len(starts[0]), "part").sortWithinPartitions(
+        F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("row")).select("doc_id", "packed", "n")
 
     def run(batches):
         files, root = _file_system(folder)

@@ -20,7 +20,7 @@ import numpy as np
 
 from .words import EXACT, Words, words_of
 
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _NO_SPACE = np.ones(256, bool)
 _NO_SPACE[32] = False
 _BEGINNING = np.uint64(0x5851F42D4C957F2D)
@@ -93,7 +93,7 @@ class Encoder:
 
     def _learned(self, wanted: set[str]) -> dict[str, bytes | None]:
         """Ids of pieces; None for those whose text must be encoded whole."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED // 2:
             self.known.clear()
         rest, made = self._without_words(wanted)
         fit = [p for p in rest if p[:1] == " " or _PLAIN.match(p)]
