@@ -3,17 +3,22 @@
 A token's probability is class-factored: P(class | context) * P(token | class). The most frequent tokens and the text end are
 classes of their own, all others share ``SHARED`` classes by token hash, in which a token has (c + 1) / (N_class + V_class + 1).
 P(class | context) is a softmax over features of the three tokens before: the last one, the last two, the one two back and the one
-three back (skips), each hashed into ``ROWS`` rows of class weights.
+three back (skips). Features are hashes of the tokens themselves, whatever their frequency; each picks a row of class weights.
+There are as many rows as distinct training tokens, rounded up to a power of two, from ``LEAST_ROWS`` to ``MOST_ROWS``, which bounds
+the weights (8 MB) that travel to tasks; beyond it features share rows by hash and none is left out.
 
-Training is distributed gradient descent on the whole training corpus: one pass turns it into counts of (context, class), which
-are summed in Spark by blocks of contexts; each update maps over the blocks, adds their gradients and moves the weights. Weights
-and count blocks have a fixed size, so only the first pass depends on the corpus. Scoring looks the classes up in numpy batches.
+Training is distributed gradient ascent over all training rows. A weight moves by ``RATE`` * log((observed + s) / (expected + s)), s a
+pseudo-count of its class: the sign of its gradient, observed - expected count, at the scale of a log ratio. Rows are dealt by hash
+into ``updates`` parts, one an update, so that every row is in one of them and each update meets rows the weights have not seen. The
+first needs no softmax, as the untrained model expects the class prior everywhere. A task sums its rows, blocks of feature rows are
+summed and moved in Spark, and the driver takes the moves only. Scoring looks the weights up in numpy batches.
 
 Scale: token counts are exact over all training rows (pre-summed per task). The ``TABLE`` most frequent tokens, a fixed number,
-travel to the tasks; the counts of all others are joined in Spark by token hash, without hot keys as those are in the table.
+travel to the tasks; the counts of all others are joined in Spark by token hash, without hot keys as those are in the table. Up to
+``INPUTS`` input partitions share one task's sums in training, so that those stay a small part of the input.
 
-Null text is empty: it is the end token alone. Repeated rows are scored each on its own and count as often as they occur.
-Tokens are told apart by 64-bit hashes.
+Null text is empty: it is the end token alone. Repeated rows are scored each on its own and count as often as they occur. A very long
+text is cut into runs of tokens only for its arithmetic. Tokens are told apart by 64-bit hashes.
 """
 
 from collections.abc import Iterator
@@ -25,17 +30,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import crc_fold, slices, stored, table, with_text_columns, workers_see_package
-from .words import GRAPHIC, mix, words_of
+from .words import GRAPHIC, STEPS, mix, words_of
 
 TABLE = 65_536  # tokens whose counts every task holds
-OWN = 48  # classes of single tokens; the text end is the first
-SHARED = 16
+OWN = 32  # classes of single tokens; the text end is the first
+SHARED = 32
 CLASSES = OWN + SHARED
-NEAR = 32  # classes of context tokens: the first of OWN, and shared ones; the last stands before the text
-ROWS = 4096
-BLOCKS = 32
-UPDATES = 20
+LEAST_ROWS, MOST_ROWS = 1 << 10, 1 << 15
+BLOCKS = 32  # of feature rows, each summed on its own
+UPDATES = 4
+RATE = 0.25  # one share a feature of a token
+SMOOTHING = 4.0  # rows' worth of the class prior added to both counts
+INPUTS = 16
+FEATURES = 4
+RUN = 1 << 14  # tokens whose class scores are held at once
 END = int(mix(np.array([0xE0F], np.uint64))[0])
+START = np.uint64(0x57A7)  # stands before the text
+_KINDS = STEPS[:5]  # one odd factor a kind of feature and place
 
 
 def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +87,7 @@ def _counts(batches):
 
 
 class Classes:
-    """Class of each token for prediction, and as context."""
+    """Class of each token."""
 
     def __init__(self, own: list[int]):
         rest = [t for t in own if t != END][: OWN - 1]
@@ -89,91 +100,105 @@ class Classes:
         shared = OWN + (tokens & np.uint64(SHARED - 1)).astype(np.int64)
         return np.where(ranked[at] == tokens, self.order[at], shared)
 
-    def contexts(self, classes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Code of the three tokens before each token of each text."""
-        near = np.where(classes < NEAR - 9, classes, NEAR - 9 + (classes & 7))
-        place = np.arange(len(classes)) - np.repeat(cut[:-1], np.diff(cut))
-        code = np.zeros(len(classes), np.int64)
-        for back in (1, 2, 3):
-            before = np.full(len(classes), NEAR - 1)
-            before[back:] = near[:-back]
-            before[place < back] = NEAR - 1
-            code = code * NEAR + before
-        return code
 
+def feature_rows(tokens: np.ndarray, cut: np.ndarray, rows: int) -> np.ndarray:
+    """Weight rows of every token's features (4 x tokens): last token, last two, two back, three back."""
+    place = np.arange(len(tokens)) - np.repeat(cut[:-1], np.diff(cut))
+    one, two, three = (np.full(len(tokens), START) for _ in range(3))
+    for back, before in ((1, one), (2, two), (3, three)):
+        before[back:] = tokens[:-back]
+        before[place < back] = START
+    found = (one * _KINDS[0], one * _KINDS[1] + two * _KINDS[2], two * _KINDS[3], three * _KINDS[4])
+    return np.stack([(mix(f) >> np.uint64(65 - rows.bit_length())).astype(np.int64) for f in found])
 
-def features() -> np.ndarray:
-    """Weight rows of every context code: last token, last two, two back, three back."""
-    code = np.arange(NEAR**3)
-    one, two, three = code // NEAR**2, code // NEAR % NEAR, code % NEAR
-    return np.stack([one, NEAR + (mix((one * NEAR + two + 7).astype(np.uint64)) % np.uint64(ROWS - 3 * NEAR)).astype(np.int64),
-                     ROWS - 2 * NEAR + two, ROWS - NEAR + three], 1)
 
+def class_scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(score) of every class for each column of feature rows, up to a factor, and the sums of them."""
+    scores = weights[at[0]]
+    for row in at[1:]:
+        scores += weights[row]
+    scores += bias
+    scores -= scores.max(1, keepdims=True)
+    np.exp(scores, out=scores)
+    return scores, scores.sum(1)
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log P(class | context) for each row of feature numbers."""
-    logits = bias + sum(weights[rows[:, k]] for k in range(rows.shape[1]))
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
+def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """``total[at] += values`` with equal rows summed first."""
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    total[ranked[first]] += np.add.reduceat(values[order], first, axis=0)
 
-def _context_counts(classes: Classes):
-    cells = NEAR**3 * CLASSES // BLOCKS
 
+def _sums(classes: Classes, rows: int, state):
+    """Per task: observed and expected counts of (feature row, class) by block; without ``state`` observed ones alone."""
     def run(batches):
-        total = np.zeros(NEAR**3 * CLASSES, np.int32)
+        seen = np.zeros(rows * CLASSES, np.float32)
+        meant = np.zeros((rows, CLASSES), np.float32)
         for batch in batches:
             for _, data, bounds in slices(batch):
                 tokens, cut = tokens_of(data, bounds)
-                kind = classes.of(tokens)
-                total += np.bincount(classes.contexts(kind, cut) * CLASSES + kind, minlength=len(total)).astype(np.int32)
+                kind, at = classes.of(tokens), feature_rows(tokens, cut, rows)
+                cells, often = np.unique((at * CLASSES + kind).ravel(), return_counts=True)
+                seen[cells] += often
+                for i in range(0, len(tokens) if state else 0, RUN):
+                    part = at[:, i: i + RUN]
+                    chance, whole = class_scores(*state.value, part)
+                    chance /= whole[:, None]
+                    for row in part:
+                        _add_rows(meant, row, chance)
+        seen = seen.reshape(BLOCKS, -1)
+        meant = meant.reshape(BLOCKS, -1)
         for b in range(BLOCKS):
-            part = total[b * cells: (b + 1) * cells]
-            some = np.flatnonzero(part)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([some.astype("<i4").tobytes()], pa.binary()),
-                                              pa.array([part[some].tobytes()], pa.binary())], names=["block", "cells", "counts"])
+            if seen[b].any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([seen[b].tobytes()], pa.binary()),
+                                                  pa.array([meant[b].tobytes() if state else b""], pa.binary())], names=["block", "seen", "meant"])
+    return run
 
-    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells)
+
+def _moves(rows: int, prior: np.ndarray | None):
+    """Sum of a block over tasks as the move of its weights; without ``prior`` the sum of observed counts."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, rows // BLOCKS, CLASSES))
         for batch in batches:
-            for at, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                total[np.frombuffer(at, "<i4")] += np.frombuffer(n, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
-    return run, summed
-
-
-def train(docs: DataFrame, classes: Classes, updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and class biases by full-batch gradient updates over the counts of contexts."""
-    run, summed = _context_counts(classes)
-    parts = docs.select("text").mapInArrow(run, "block int, cells binary, counts binary")
-    blocks = stored(parts.groupBy("block").applyInArrow(summed, "block int, counts binary").repartition(8, "block"), "contexts")
-    rows, wide = features(), NEAR**3 // BLOCKS
-    weights, bias = np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-    squares = np.zeros_like(weights)
-
-    for step in range(updates + 1):
-        def gradient(batches, weights=weights, bias=bias, step=step):
-            made = np.zeros((ROWS, CLASSES))
-            seen = np.zeros(CLASSES)
-            for batch in batches:
-                for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    count = np.frombuffer(raw).reshape(wide, CLASSES)
-                    seen += count.sum(0)
-                    if step:
-                        own = rows[b * wide: (b + 1) * wide]
-                        off = count - count.sum(1, keepdims=True) * np.exp(log_softmax(weights, bias, own))
-                        for k in range(own.shape[1]):
-                            np.add.at(made, own[:, k], off)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([made.astype("<f4").tobytes() if step else b""], pa.binary()),
-                                              pa.array([seen.tobytes()], pa.binary())], names=["key", "made", "seen"])
-        found = blocks.mapInArrow(gradient, "key int, made binary, seen binary").toArrow().to_pylist()  # a few tasks' fixed-size sums
-        seen = sum(np.frombuffer(r["seen"]) for r in found)
-        if not step:
-            bias = np.log((seen + 1) / (seen + 1).sum()).astype(np.float32)
-            continue
-        total = sum(np.frombuffer(r["made"], "<f4").reshape(ROWS, CLASSES).astype(float) for r in found) / max(seen.sum(), 1) - 1e-6 * weights
-        squares += total**2
-        weights = (weights + 0.3 * total / (np.sqrt(squares) + 1e-9) * (squares > 0)).astype(np.float32)
+            for name, out in zip(("seen", "meant"), total, strict=True):
+                for raw in batch.column(batch.schema.get_field_index(name)):
+                    if len(raw.as_py()):
+                        out += np.frombuffer(raw.as_py(), np.float32).reshape(out.shape)
+        move = total[0] if prior is None else move_of(*total, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([move.astype(np.float32).tobytes()], pa.binary())],
+                                         names=["block", "move"])
+    return run
+
+
+def move_of(seen: np.ndarray, meant: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    return RATE * np.log((seen + SMOOTHING * prior) / (meant + SMOOTHING * prior))
+
+
+def train(docs: DataFrame, classes: Classes, rows: int, updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray]:
+    """Class weights of every feature row, and class biases, from all rows of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // INPUTS))
+
+    def summed(own: DataFrame, state, prior) -> np.ndarray:
+        sums = own.select("text").coalesce(parts).mapInArrow(_sums(classes, rows, state), "block int, seen binary, meant binary")
+        found = sums.groupBy("block").applyInArrow(_moves(rows, prior), "block int, move binary").toArrow()  # MOST_ROWS rows at most
+        out = np.zeros((BLOCKS, rows // BLOCKS, CLASSES), np.float32)
+        for b, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            out[b] = np.frombuffer(raw, np.float32).reshape(out[b].shape)
+        return out.reshape(rows, CLASSES)
+
+    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(updates))
+    seen = summed(docs.filter(deal == 0), None, None).astype(float)
+    each = seen.sum(0) / FEATURES + 1
+    prior = each / each.sum()
+    bias = np.log(prior).astype(np.float32)
+    weights = move_of(seen, seen.sum(1, keepdims=True) * prior, prior).astype(np.float32)
+    for step in range(1, updates):
+        state = spark.sparkContext.broadcast((weights, bias))
+        weights = weights + summed(docs.filter(deal == step), state, prior)
+        state.unpersist()
     return weights, bias
 
 
@@ -195,20 +220,23 @@ def scored(docs: DataFrame, training, updates: int = UPDATES) -> DataFrame:
     single = spark.createDataFrame([(int(t),) for t in classes.tokens.view(np.int64)], "token long")
     sizes = counts.join(F.broadcast(single), "token", "left_anti").groupBy((F.col("token").bitwiseAND(SHARED - 1)).alias("k")).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # one row a shared class
-    weights, bias = train(own, classes, updates)
+    rows = min(max(1 << max(distinct - 1, 1).bit_length(), LEAST_ROWS), MOST_ROWS)
+    weights, bias = train(own, classes, rows, updates)
     within = np.zeros(CLASSES)
     for k in range(SHARED):
         r = next((r for r in sizes if r["k"] == k), None)
         within[OWN + k] = np.log10((r["n"] + r["v"] if r else 0) + 1)
     shared = spark.sparkContext.broadcast((keys, numbers, weights, bias))
 
-    def compute(rows, data, bounds):
+    def compute(_, data, bounds):
         keys, numbers, weights, bias = shared.value
-        if "table" not in state:
-            state["table"] = (log_softmax(weights, bias, features()) / np.log(10)).astype(np.float32)
         tokens, cut = tokens_of(data, bounds)
         kind = classes.of(tokens)
-        log_class = state["table"][classes.contexts(kind, cut), kind].astype(float)
+        near, log_class = feature_rows(tokens, cut, rows), np.zeros(len(tokens))
+        for i in range(0, len(tokens), RUN):
+            part, own_class = near[:, i: i + RUN], kind[i: i + RUN]
+            chance, whole = class_scores(weights, bias, part)
+            log_class[i: i + RUN] = np.log10(np.maximum(chance[np.arange(len(whole)), own_class], 1e-37) / whole)
         at = np.searchsorted(keys[:-1], tokens)
         c = np.where(keys[at] == tokens, numbers[at], 0)
         known = np.add.reduceat(c > 0, cut[:-1], dtype=np.int64)
@@ -224,7 +252,6 @@ def scored(docs: DataFrame, training, updates: int = UPDATES) -> DataFrame:
         ends = np.searchsorted(owner[order][first], np.arange(len(cut))).astype(np.int32)
         return [np.diff(cut), known, log_c, np.add.reduceat(log_class + inside, cut[:-1]),
                 pa.ListArray.from_arrays(ends, pa.array(tokens[order][first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(often))]
-    state: dict = {}
     kinds = (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))
     fields = T.StructType([T.StructField(n, k) for n, k in zip(("n_tokens", "known_", "log_c", "model_", "rare", "often"), kinds, strict=True)])
     parts = with_text_columns(docs, compute, fields, ["doc_id", "training"]).withColumn("row", F.monotonically_increasing_id())

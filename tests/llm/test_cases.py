@@ -113,6 +113,80 @@ def test_language_model(docs, none):
     assert lm.scored(none, crc_fold(none.doc_id, 7) != 2, updates=1).count() == 0
 
 
+def test_language_model_against_plain_loops(spark):
+    """Features, updates and scores of a small corpus, token by token; held-out text scores above the unigram base."""
+    rng = np.random.default_rng(5)
+    nouns, verbs = [f"noun{i}" for i in range(60)], [f"verb{i}" for i in range(60)]
+    texts = []
+    for _ in range(240):
+        at = rng.integers(0, 60, 12)
+        texts.append(" ".join(f"the {nouns[i]} {verbs[i]} it" for i in at))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.scored(df, crc_fold(df.doc_id, 7) != 2).collect()}
+    part = {r.doc_id: r.p for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lm.UPDATES)).alias("p")).collect()}
+
+    def hashed(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [int(h) for h in lm.tokens_of(raw, np.array([0, len(raw)]))[0]]
+    words = {i: hashed(t) for i, t in rows}
+    own = [i for i in words if not got[i].held_out]
+    count = Counter(w for i in own for w in words[i])
+    best = sorted(count, key=lambda w: (-count[w], w if w < 2**63 else w - 2**64))[: lm.OWN]
+    single = [lm.END, *[w for w in best if w != lm.END][: lm.OWN - 1]]
+    kind = {w: single.index(w) if w in single else lm.OWN + w % lm.SHARED for i in words for w in words[i]}
+    n_rows = max(lm.LEAST_ROWS, 1 << (len(count) - 1).bit_length())
+
+    def near(tokens, k):
+        before = [int(lm.START)] * 3 + tokens
+        return lm.feature_rows(np.array([*before[k: k + 3], tokens[k]], np.uint64), np.array([0, 4]), n_rows)[:, 3].tolist() if k > 2 else \
+            lm.feature_rows(np.array(tokens[: k + 1], np.uint64), np.array([0, k + 1]), n_rows)[:, k].tolist()
+    features = {i: [near(words[i], k) for k in range(len(words[i]))] for i in words}
+    weights, bias, prior = np.zeros((n_rows, lm.CLASSES)), None, None
+    for step in range(lm.UPDATES):
+        seen, meant = np.zeros_like(weights), np.zeros_like(weights)
+        rows_of_step = [i for i in own if part[i] == step]
+        if prior is None:
+            each = np.ones(lm.CLASSES)
+            for i in rows_of_step:
+                for w in words[i]:
+                    each[kind[w]] += 1
+            prior = each / each.sum()
+            bias = np.log(prior)
+        for i in rows_of_step:
+            for w, at in zip(words[i], features[i], strict=True):
+                chance = np.exp(bias + sum(weights[f] for f in at))
+                chance /= chance.sum()
+                for f in at:
+                    seen[f, kind[w]] += 1
+                    meant[f] += chance
+        weights = weights + lm.RATE * np.log((seen + lm.SMOOTHING * prior) / (meant + lm.SMOOTHING * prior))
+    inside = [sum(c + 1 for w, c in count.items() if kind[w] == k) + 1 for k in range(lm.CLASSES)]
+    for i in words:
+        want = 0.0
+        for w, at in zip(words[i], features[i], strict=True):
+            chance = np.exp(bias + sum(weights[f] for f in at))
+            want += np.log10(chance[kind[w]] / chance.sum())
+            if kind[w] >= lm.OWN:
+                want += np.log10((count[w] + 1) / inside[kind[w]])
+        assert abs(want - got[i].score) < 1e-3 * len(words[i])
+    held = [r for r in got.values() if r.held_out]
+    assert len(held) > 10 and sum(r.score - r.base_score for r in held) > 0.3 * sum(r.n_tokens for r in held)
+
+
+def test_language_model_weights_do_not_depend_on_tasks(spark):
+    df = spark.createDataFrame([(i, f"alpha beta w{i % 7} gamma w{i % 5}") for i in range(60)], "doc_id long, text string")
+    one, many = (sorted((r.doc_id, round(r.score, 3)) for r in lm.scored(d, crc_fold(d.doc_id, 7) != 2).collect())
+                 for d in (df.coalesce(1), df.repartition(11)))
+    assert one == many
+
+
+def test_language_model_rows_grow_with_the_corpus():
+    few, more = (lm.feature_rows(np.arange(5000, dtype=np.uint64), np.array([0, 5000]), n) for n in (lm.LEAST_ROWS, lm.MOST_ROWS))
+    assert few.max() < lm.LEAST_ROWS < more.max() < lm.MOST_ROWS
+    assert len(np.unique(more[1])) > 4000  # pairs of the tokens themselves, not of a few codes
+
+
 def _ids(texts):
     from tokenizers import Tokenizer
 
