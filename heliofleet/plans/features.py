@@ -9,28 +9,25 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import scalar as S
+from ..operators.categories import CategoryIndex, add_one_hot_vector
 from ..operators.chunks import PLANT_ORDER, Order, halo_window
 from ..operators.series import add_deltas, lag_columns, rolling_columns
 
-MAX_PLANT_COLUMNS = 1000
-
 
 def plant_names(df: DataFrame) -> list[str]:
-    """Distinct plants, for one-hot columns; refuses fleets too large for one column each."""
-    rows = df.select(C.PLANT).distinct().limit(MAX_PLANT_COLUMNS + 1).collect()
-    if len(rows) > MAX_PLANT_COLUMNS:
-        raise ValueError("too many plants for one-hot columns")
-    return sorted(r[0] for r in rows)
+    """Distinct plants in their order; each becomes a column of the plan."""
+    return sorted(r[0] for r in df.select(C.PLANT).filter(F.col(C.PLANT).isNotNull()).distinct().collect())
 
 
 def build_features(
-    df: DataFrame, config: C.Features = C.Features(), plants: Sequence[str] | None = None,
+    df: DataFrame, config: C.Features = C.Features(), plants: Sequence[str] | CategoryIndex | None = None,
     order: Order = PLANT_ORDER,
 ) -> DataFrame:
     """Model inputs from readings with a per-unit target.
 
-    Pass ``plants`` to declare the one-hot columns; otherwise one small job finds them. Rows with
-    a NULL in a reading or feature are dropped if the configuration says so; other columns of the
+    Pass ``plants`` to declare the one-hot columns; otherwise one small job finds them. A fleet too large for a
+    column a plant passes ``category_index(df, "id_planta")`` and gets the columns ``plant_index`` and, sparse, ``plant_vector``;
+    its names never reach the driver. Rows with a NULL in a reading or feature are dropped if the configuration says so; other columns of the
     input do not count.
     """
     C.require_columns(df, (*C.REQUIRED_COLUMNS, C.TARGET, C.PLANT))
@@ -53,6 +50,8 @@ def build_features(
         out = out.withColumns(S.interactions(radiation, F.col(C.TEMPERATURE)))
     out = out.withColumns(S.one_hot(S.regime(radiation), C.REGIMES, "regime"))
     if "plant" in config.groups:
+        if isinstance(plants, CategoryIndex):
+            return add_one_hot_vector(out, C.PLANT, plants, "plant")
         names = plants if plants is not None else plant_names(df)
         out = out.withColumns(S.one_hot(F.col(C.PLANT), sorted(names), "plant"))
     return out

@@ -127,15 +127,23 @@ def assembled(features: Sequence[str], estimator: Estimator, scale: bool = False
     ])
 
 
+def _inputs(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Features for trees and for assembled vectors: a one-hot vector goes into the latter, its index into the former."""
+    vectors = {f for f in features if df.schema[f].dataType.typeName() == "vectorudt"}
+    indexes = {f.removesuffix("_vector") + "_index" for f in vectors}
+    return [f for f in features if f not in vectors], [f for f in features if f not in indexes]
+
+
 def fit_all(train: DataFrame, features: Sequence[str], factories: Mapping[str, Factory], label: str = C.TARGET,
             scale: bool = False, written: bool = False) -> dict[str, PipelineModel]:
     """Fit each model on the training rows, which are written once (unless they are already) and read by every fit."""
     rows = train.select(*features, label)
     rows = rows if written else cut_lineage(rows)
     made = {name: make(rows) for name, make in factories.items()}
+    scalar, dense = _inputs(rows, features)
     specs = {name: e.spec for name, e in made.items() if isinstance(e, TreeRegressor)}
-    grown = trees.fit(rows, features, label, specs) if specs else {}
-    return {name: PipelineModel([TreeModel(grown[name])]) if name in grown else assembled(features, e, scale).fit(rows)
+    grown = trees.fit(rows, scalar, label, specs) if specs else {}
+    return {name: PipelineModel([TreeModel(grown[name])]) if name in grown else assembled(dense, e, scale).fit(rows)
             for name, e in made.items()}
 
 
