@@ -11,9 +11,8 @@ pairs leaves at once; that is most of them.
 Copies are not expanded into all pairs. Each list compares its members with one leader, the member that shares most
 coordinates with others (the original of a group of edited copies), on the full shingle sets; a second leader takes in
 what the first left outside. What is then still in different
-components of one list is compared through the leader L, without its full sets: |x and y| = |x and L| + |y and L| - |L| +
-|(L - x) and (L - y)| + |(x - L) and (y - L)|. The differences are small, the test is the condition of the join, and only links
-come out of it. No link between components is lost. Components are found in Spark.
+components of some list meets by the rarest shingle the two sets can share (``_rare_meetings``), not by the list: pages of one template that
+are not similar enough never meet, and no link between components is lost. Components are found in Spark.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Null or wordless text: no shingles, a component of its own.
 Fewer than five words: the whole sequence is the one shingle. Repeated rows are copies of each other; the kept row is decided
@@ -101,14 +100,17 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns.T)], names=["a", "b", "common", "na", "nb"])
 
 
-def _difference(batches):
-    """Shingles of the first set that the second has not, and the other way round."""
-    def beyond(x, y):
-        return np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).view(np.int64)
+def _unfolded(batches):
+    """One row per shingle of each set, with the size of the set."""
     for batch in batches:
-        pairs = list(zip(batch.column(2), batch.column(3), strict=True))
-        sides = [pa.array([beyond(*p[::way]) for p in pairs], pa.list_(pa.int64())) for way in (1, -1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], names=["a", "b", "own", "gone"])
+        names = batch.schema.names
+        rid, c, raw = (batch.column(names.index(x)) for x in ("rid", "c", "shingles"))
+        for i in range(0, len(raw), 256):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in raw.slice(i, 256)]
+            n = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.repeat(x.slice(i, 256).to_numpy(), n)) for x in (rid, c)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))],
+                names=["rid", "c", "n", "h"])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,17 +165,37 @@ def _links_of(lists: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataF
         links = links.union(more)
         groups = components(links)
     mixed = _mixed(ahead, groups)
-    open_pairs = mixed.filter("rid <> leader").select(F.col("rid").alias("a"), F.col("leader").alias("b"), "c").distinct()
-    open_pairs = stored(open_pairs.join(first, ["a", "b"]), "open")
-    apart = _with_sets(open_pairs.select("a", "b"), sets).mapInArrow(_difference, "a long, b long, own array<long>, gone array<long>")
-    apart = stored(apart.join(open_pairs, ["a", "b"]), "apart")
-    other = apart.select("b", *[F.col(x).alias(f"{x}2") for x in ("a", "c", "common", "na", "own", "gone")])
-    enough = SIMILARITY[0] * (F.col("na") + F.col("na2"))
-    most = F.least("common", "common2") + F.least(F.col("na") - F.col("common"), F.col("na2") - F.col("common2"))
-    exactly = F.expr("common + common2 - nb + size(array_intersect(gone, gone2)) + size(array_intersect(own, own2))")
-    rest = apart.join(other, "b").filter(
-        (F.col("c") < F.col("c2")) & (sum(SIMILARITY) * most >= enough) & (sum(SIMILARITY) * exactly >= enough))
-    return links.union(stored(rest.select("a", F.col("a2").alias("b")), "links"))
+    members = stored(mixed.select("rid", "c").distinct(), "members")
+    return links.union(_links(_measured(_rare_meetings(members, sets), sets)))
+
+
+def _band(size):
+    """Sizes in steps of four per cent."""
+    return F.floor(F.log(size.cast("double")) * 25 + 1e-9).cast("int")
+
+
+def _rare_meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``members`` in different components that can be linked, by the rarest shingle they share.
+
+    Shingles are ordered by how many members hold them, rarest first. Sets of n and m shingles are linked if they share k with
+    7 k >= 3 (n + m). If the first one they share stands at place p of the first set (from 0), then k <= n - p, so
+    m <= 7 (n - p) / 3 - n. Each set is therefore posted under its early shingles, for the bands of partner sizes that bound
+    allows; what a whole family shares stands too late to be posted. Shingles of one component only have no partner.
+    """
+    spread = members.join(sets, "rid").mapInArrow(_unfolded, "rid long, c long, n long, h long")
+    spread = stored(spread, "shingles")
+    held = spread.groupBy("h").agg(F.count(F.lit(1)).alias("f"), (F.min("c") < F.max("c")).alias("across"))
+    ranked = spread.join(held, "h").groupBy("rid", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h", "across"))).alias("own"))
+    placed = ranked.select("rid", "c", "n", F.posexplode("own").alias("p", "s")).filter("s.across")
+    least, most = F.expr("(3 * n + 3) div 4"), F.expr("least((7 * (n - p)) div 3 - n, (4 * n) div 3)")
+    posted = placed.withColumns({"least": least, "most": most}).filter("least <= most").select(
+        "rid", "c", "n", F.col("s.h").alias("h"), (F.col("n") - F.col("p")).alias("left"), _band(F.col("n")).alias("mine"),
+        F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))).alias("theirs"))
+    posted = stored(posted, "rare")
+    other = posted.select("h", *[F.col(x).alias(y) for x, y in (("rid", "b"), ("c", "c2"), ("n", "n2"), ("left", "left2"), ("mine", "theirs"), ("theirs", "mine"))])
+    met = posted.withColumnRenamed("rid", "a").join(other, ["h", "mine", "theirs"]).filter(
+        (F.col("c") < F.col("c2")) & F.expr("3 * (n + n2) <= 7 * least(left, left2)"))
+    return stored(met.select("a", "b").distinct(), "meetings")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -328,6 +328,31 @@ def test_edited_copies_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(sets))}
 
 
+def test_pages_of_one_template_against_brute_force(spark):
+    """Families just below the limit, some members just above it, of different lengths."""
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    for i in range(240):
+        own = [f"p{i}x{j}" for j in range(int(rng.integers(40, 75)))]
+        if i % 6 == 1:  # shares most of its neighbour's own part
+            own = (texts[-1][300:] + own)[: len(own) + int(rng.integers(0, 8))]
+        texts.append(template + own)
+    sets = [{tuple(w[a: a + 5]) for a in range(len(w) - 4)} for w in texts]
+    low = list(range(len(sets)))
+    changed = True
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    assert 1 < len(set(low)) < len(sets)
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(low))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (400, [float("inf")])]
