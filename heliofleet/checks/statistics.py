@@ -200,6 +200,34 @@ def lowess_trend(spark, d):
     return stats.lowess_grid(producing(spark, d), C.RADIATION, "e_kw", by=(C.PLANT,))
 
 
+def _robust_sql(passes: int) -> str:
+    """The trend with robustness passes as one statement: weights, trend and residuals of each pass."""
+    steps = []
+    for p in range(passes + 1):
+        steps.append(f"""t{p} AS (SELECT id_planta, i, max(gx) AS x, (sum(k * r * dx * dx) * sum(k * r * y) - sum(k * r * dx) * sum(k * r * dx * y))
+  / (sum(k * r) * sum(k * r * dx * dx) - sum(k * r * dx) ** 2) AS trend FROM k JOIN r{p} USING (id_planta, t) GROUP BY 1, 2)""")
+        if p < passes:
+            steps.append(f"""r{p + 1} AS (SELECT id_planta, t, CASE WHEN e < 6 * m THEN (1 - (e / (6 * m)) ** 2) ** 2 ELSE 0 END AS r FROM (
+  SELECT *, quantile_cont(e, 0.5) OVER (PARTITION BY id_planta) AS m FROM (
+    SELECT o.id_planta, o.t, abs(o.y - (a.trend + (c.trend - a.trend) * (o.at - o.j))) AS e FROM o
+    JOIN t{p} a ON a.id_planta = o.id_planta AND a.i = o.j JOIN t{p} c ON c.id_planta = o.id_planta AND c.i = o.j + 1)))""")
+    return """
+WITH b AS (SELECT id_planta, min(radiation) AS lo, max(radiation) AS hi, count(*) AS n FROM x GROUP BY 1),
+g AS (SELECT id_planta, CAST(i AS INT) AS i, lo + (hi - lo) * i / 49 AS gx, n FROM b, generate_series(0, 49) s(i)),
+f AS (SELECT g.*, x."timestamp" AS t, abs(x.radiation - gx) AS d, x.radiation - gx AS dx, x.e_kw AS y FROM g JOIN x ON x.id_planta = g.id_planta),
+h AS (SELECT id_planta, i, d AS h FROM f QUALIFY row_number() OVER (PARTITION BY id_planta, i ORDER BY d) = CAST(ceil(n * 0.3) AS BIGINT)),
+k AS (SELECT f.*, (1 - (d / h) ** 3) ** 3 AS k FROM f JOIN h ON h.id_planta = f.id_planta AND h.i = f.i WHERE d < h),
+o AS (SELECT x.id_planta, x."timestamp" AS t, e_kw AS y, (radiation - lo) / ((hi - lo) / 49) AS at, CAST(least(floor((radiation - lo) / ((hi - lo) / 49)), 48) AS INT) AS j
+  FROM x JOIN b ON b.id_planta = x.id_planta),
+r0 AS (SELECT id_planta, "timestamp" AS t, CAST(1 AS DOUBLE) AS r FROM x),
+""" + ",\n".join(steps) + f"\nSELECT * FROM t{passes}"
+
+
+@check("lowess_trend_robust", _robust_sql(3), "x trend", PRODUCING, 5)
+def lowess_trend_robust(spark, d):
+    return stats.lowess_grid(producing(spark, d), C.RADIATION, "e_kw", by=(C.PLANT,), passes=3)
+
+
 @check("hash_sample")
 def hash_sample(spark, d):
     return stats.hash_sample(producing(spark, d), (C.PLANT, C.TS), 500)

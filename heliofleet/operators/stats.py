@@ -301,29 +301,51 @@ def ljung_box(acf: DataFrame, tests: Sequence[int] = (1, 4, 8, 16, 24, 48), keys
     return wide.select(*keys, "n", F.inline(rows)).withColumn("p_value", p)
 
 
-def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
+def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0.3, by: Sequence[str] = (),
+                passes: int = 0) -> DataFrame:
     """Local linear trend with tricube weights, evaluated on an even grid.
 
     Readings are first combined by distinct ``x`` (count, sums) and written; every pass after that
     reads distinct values. Bandwidth of a grid point: exact distance of its ceil(frac n)-th nearest row.
+
+    Each of ``passes`` weighs rows down by their residual r against the trend between grid points: (1 - (r / 6 m)^2)^2 below
+    6 m and 0 above, m the exact median of |r| in the group; with m = 0 only rows on the trend count. A grid point left
+    without weight keeps its trend of the pass before.
     """
     by = list(by)
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    spots = cut_lineage(rows.groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_w"), F.sum(y).alias("_sy")))
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    if passes:
+        rows = cut_lineage(rows)
+    spots = cut_lineage(rows.groupBy(*by, "_x").agg(F.count("*").alias("_w"), F.sum("_y").alias("_sy")))
     bounds = spots.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("_n"))
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / (points - 1)
     grid = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
         *by, "i", at.alias("x"), "_n"
     )
-    distance = F.abs(F.col("_x") - F.col("x"))
     # Fifty rows per group; without groups the grid is those fifty rows and is broadcast.
     far = spots.join(grid, by) if by else spots.crossJoin(F.broadcast(grid))
-    near = nearest_distance(far.select(*by, "i", "_n", distance.alias("_d"), "_w"), [*by, "i"], frac)
-    tied = (F.col("_h") == 0) & (distance == 0)  # so many rows at the point itself that the trend is their mean
-    local = far.join(near, [*by, "i"]).filter((distance < F.col("_h")) | tied)
-    u = F.when(F.col("_h") > 0, distance / F.col("_h")).otherwise(0.0)
-    tri = F.pow(1 - u * u * u, 3)
+    near = nearest_distance(far.select(*by, "i", "_n", F.abs(F.col("_x") - F.col("x")).alias("_d"), "_w"), [*by, "i"], frac)
+    reach = grid.join(near, [*by, "i"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x", "_h"))).alias("_grid"))
+    reach = cut_lineage(reach) if passes else reach
+    trend = _local_lines(spots, reach, by)
+    for _ in range(passes):
+        before = cut_lineage(trend)
+        spots = cut_lineage(_bisquare(rows, before, by).groupBy(*by, "_x").agg(F.sum("_r").alias("_w"), F.sum(F.col("_r") * F.col("_y")).alias("_sy")))
+        now = _local_lines(spots.filter("_w > 0"), reach, by).select(*by, "i", F.col("trend").alias("_now"))
+        trend = before.join(now, [*by, "i"], "left").select(*by, "i", "x", F.coalesce("_now", "trend").alias("trend"))
+    return trend
+
+
+def _local_lines(spots: DataFrame, reach: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Weighted line at every grid point from the spots within its bandwidth; a spot is copied to the points that see it only."""
+    def sees(g: Column) -> Column:
+        d = F.abs(F.col("_x") - g["x"])
+        return (d < g["_h"]) | ((g["_h"] == 0) & (d == 0))  # so many rows at the point itself that the trend is their mean
+    local = _attach(spots, reach, by).withColumn("_g", F.explode(F.filter("_grid", sees))).select(
+        *by, "_x", "_w", "_sy", F.col("_g.i").alias("i"), F.col("_g.x").alias("x"), F.col("_g._h").alias("_h"))
     dx = F.col("_x") - F.col("x")
+    u = F.when(F.col("_h") > 0, F.abs(dx) / F.col("_h")).otherwise(0.0)
+    tri = F.pow(1 - u * u * u, 3)
     k = tri * F.col("_w")
     sums = local.groupBy(*by, "i", "x").agg(
         F.sum(k).alias("s0"), F.sum(k * dx).alias("s1"), F.sum(k * dx * dx).alias("s2"),
@@ -331,10 +353,26 @@ def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0
     )
     det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
     line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det
-    fit = F.when(det > 1e-12 * F.col("s0") * F.col("s2"), line).otherwise(F.col("t0") / F.col("s0"))
+    fit = F.when(det > 1e-12 * F.col("s0") * F.col("s2"), line).otherwise(F.try_divide("t0", "s0"))
     return sums.select(*by, "i", "x", fit.alias("trend"))
 
 
+def _bisquare(rows: DataFrame, trend: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``_r`` of every row: its robustness weight against the trend, linear between grid points."""
+    points = F.sort_array(F.collect_list(F.struct("i", "x", "trend")))
+    lines = trend.groupBy(*by).agg(points.alias("_t"))
+    first, count = F.col("_t")[0]["x"], F.size("_t")
+    step = (F.col("_t")[count - 1]["x"] - first) / (count - 1)
+    at = F.when(step > 0, (F.col("_x") - first) / step).otherwise(0.0)
+    placed = _attach(rows, lines, by).withColumn("_at", at).withColumn("_k", F.least(F.floor("_at").cast("int"), count - 2))
+    low, high = F.col("_t")[F.col("_k")]["trend"], F.col("_t")[F.col("_k") + 1]["trend"]
+    left = cut_lineage(placed.select(*by, "_x", "_y", F.abs(F.col("_y") - (low + (high - low) * (F.col("_at") - F.col("_k")))).alias("_e")))
+    middle = exact_quantiles(left, "_e", (0.5,), by).select(*by, (6 * F.col("q")).alias("_six"))
+    u = F.col("_e") / F.col("_six")
+    weight = F.when(F.col("_six") == 0, (F.col("_e") == 0).cast("double")).when(F.col("_e") < F.col("_six"), F.pow(1 - u * u, 2)).otherwise(0.0)
+    return _attach(left, middle, by).select(*by, "_x", "_y", weight.alias("_r"))
+
+
 def nearest_distance(weighted: DataFrame, by: Sequence[str], frac: float) -> DataFrame:
     """``_h`` per group: smallest distance that covers ceil(frac * n) weighted rows.
 

@@ -4,6 +4,7 @@ import math
 import os
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,39 @@ def test_lowess_on_tied_values_keeps_every_point(spark):
     rows = spark.range(400).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") / 4).alias("x"), (F.col("id") % 10).cast("double").alias("y"))
     got = {r["i"]: r["trend"] for r in stats.lowess_grid(rows, "x", "y").collect()}
     assert len(got) == 50 and got[0] == pytest.approx(4.0)
+
+
+def _plain_lowess(x, y, points, frac, passes):
+    """Row by row: tricube lines at grid points, residuals between them, bisquare weights."""
+    at = np.linspace(x.min(), x.max(), points)
+    weight = np.ones(len(x))
+    for last in range(passes + 1):
+        trend = []
+        for g in at:
+            d = np.abs(x - g)
+            h = np.sort(d)[int(np.ceil(frac * len(x))) - 1]
+            k = np.where(d < h, (1 - np.minimum(d / h, 1) ** 3) ** 3, 0) * weight
+            s = [np.sum(k * (x - g) ** p) for p in range(3)]
+            t = [np.sum(k * y * (x - g) ** p) for p in range(2)]
+            trend.append((s[2] * t[0] - s[1] * t[1]) / (s[0] * s[2] - s[1] ** 2))
+        if last < passes:
+            e = np.abs(y - np.interp(x, at, trend))
+            u = np.minimum(e / (6 * np.median(e)), 1)
+            weight = (1 - u ** 2) ** 2
+    return trend
+
+
+def test_robust_lowess_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.uniform(0, 100, 500), 1)
+    y = np.sin(x / 20) + rng.normal(0, 0.1, 500)
+    y[::25] += 30  # outliers that the plain trend follows
+    rows = spark.createDataFrame([(g, float(a), float(b) * f) for g, f in (("p", 1), ("q", -2)) for a, b in zip(x, y)] + [("p", None, 1.0)], "g string, x double, y double")
+    got = {(r["g"], r["i"]): r["trend"] for r in stats.lowess_grid(rows, "x", "y", points=20, by=("g",), passes=3).collect()}
+    assert len(got) == 40
+    want = _plain_lowess(x, y, 20, 0.3, 3)
+    assert [got["p", i] for i in range(20)] == pytest.approx(want, abs=1e-9) and [got["q", i] for i in range(20)] == pytest.approx([-2 * w for w in want], abs=1e-9)
+    assert max(abs(w - np.sin(a / 20)) for w, a in zip(want, np.linspace(x.min(), x.max(), 20))) < 0.4
+    flat = spark.range(30).select(F.lit(1.0).alias("x"), F.when(F.col("id") == 0, 9.0).otherwise(2.0).alias("y"))
+    assert {r["trend"] for r in stats.lowess_grid(flat, "x", "y", points=5, passes=3).collect()} <= {2.0, (9 + 29 * 2) / 30}
+    assert stats.lowess_grid(rows.limit(0), "x", "y", by=("g",), passes=1).count() == 0
