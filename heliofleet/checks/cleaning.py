@@ -205,3 +205,10 @@ FROM readings_raw WHERE power IS NOT NULL AND radiation IS DISTINCT FROM 999.0""
 def unified(spark, d):
     raw = B.readings_raw(spark, d)
     return plans.unify([raw.filter(F.col(C.PLANT) == p) for p in B.NOMINAL_KW])
+
+
+@check("sentinel_days_of_union", """
+SELECT CAST(dayofyear("timestamp") AS INT) AS day_of_year, count(*) AS n FROM readings WHERE radiation = 999 AND power IS NOT NULL GROUP BY 1""")
+def sentinel_days(spark, d):
+    rows = B.readings(spark, d)
+    return plans.unify_with_reports([rows.filter(F.col(C.PLANT) == p) for p in B.NOMINAL_KW])["sentinel_days"]

@@ -270,6 +270,12 @@ def top_features(importances: DataFrame, k: int = 10, by: str = "horizon_steps")
     return importances.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def tracked_features(importances: DataFrame, features: Sequence[str] = C.TRACKED_FEATURES) -> DataFrame:
+    """Shares of chosen features at every horizon, with the change against the first horizon."""
+    w = Window.partitionBy("feature").orderBy("horizon_steps")  # a row per horizon
+    return importances.filter(F.col("feature").isin(*features)).withColumn("change", F.col("importance") - F.first("importance").over(w))
+
+
 def prediction_export(df: DataFrame) -> DataFrame:
     """Prediction rows as they are stored: error = predicted - real."""
     return df.withColumns(S.exported_error(F.col("y_true"), F.col("y_pred")))

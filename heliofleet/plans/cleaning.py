@@ -14,6 +14,7 @@ from ..functions.solar import sunlit
 from ..operators import asof, quality, series
 from ..operators.chunks import POS, Order
 from ..session import cut_lineage
+from ..sources import sinks
 
 
 def clean_readings(df: DataFrame, iqr_multiplier: float = 3.0, fill: bool = True) -> dict[str, DataFrame]:
@@ -58,10 +59,39 @@ def fill_radiation(
 
 def unify(plants: Sequence[DataFrame]) -> DataFrame:
     """Union by name of the plants' readings; rows without power go, negatives are clipped."""
+    return quality.drop_sentinel(_together(plants))
+
+
+def _together(plants: Sequence[DataFrame]) -> DataFrame:
     if not plants:
         raise ValueError("no plants to unify")
-    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plants)
-    return quality.drop_sentinel(quality.drop_null_power_and_clip(together))
+    return quality.drop_null_power_and_clip(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plants))
+
+
+def unify_with_reports(plants: Sequence[DataFrame], path: str | None = None) -> dict[str, DataFrame]:
+    """The unified readings with the reports taken on the way; stored at ``path``, partitioned by plant, if one is given.
+
+    ``summary``, ``consistency``, ``gaps`` and ``hour_profile`` are of the readings before sentinel rows go, ``sentinel_days``
+    counts those rows by day of the year, the others are of the result. The cleaned union is written once for all of them.
+    """
+    before = cut_lineage(_together(plants))
+    clean = quality.drop_sentinel(before)
+    if path is not None:
+        sinks.write_table(clean, path)
+        clean = before.sparkSession.read.schema(before.schema).parquet(path)
+    measures = [C.RADIATION, C.POWER, C.TEMPERATURE]
+    described = [quality.describe(clean, c).select(F.lit(c).alias("column"), "*") for c in measures]
+    return {
+        "unified": clean,
+        "summary": quality.plant_summary(before),
+        "consistency": series.time_consistency(before),
+        "gaps": series.time_gaps(before),
+        "hour_profile": before.groupBy(C.PLANT, F.hour(C.TS).alias("hour")).agg(F.avg(C.POWER).alias("mean_power")),
+        "sentinel_days": before.filter(F.col(C.RADIATION) == C.SENTINEL).groupBy(F.dayofyear(C.TS).alias("day_of_year")).agg(F.count("*").alias("n")),
+        "nulls_and_negatives": quality.null_negative_counts(clean),
+        "description": reduce(DataFrame.unionByName, described),
+        "seasonal_mean": quality.seasonal_mean(clean),
+    }
 
 
 # ---- temperature ---------------------------------------------------------------------------

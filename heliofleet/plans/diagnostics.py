@@ -27,13 +27,16 @@ def residual_table(predictions: DataFrame, nominal_kw: Column | float) -> DataFr
 
 def residual_diagnostics(residuals: DataFrame, drivers: Sequence[str] = (C.RADIATION, C.TEMPERATURE, "y_true"),
                          order: Order = PLANT_ORDER) -> dict[str, DataFrame]:
-    """Every diagnostic of the residual in kW on producing rows, as lazy tables.
+    """Every diagnostic of the residual in kW on producing rows.
+
+    Relative errors are clipped to three times the production before their Q-Q line. Hexagons and trends are one table a driver.
 
     The residual table is read several times: write it (or ``cut_lineage``) before calling this
     on anything expensive.
     """
     producing = residuals.filter("is_daylight")
     by = list(order.keys)
+    relative = producing.withColumn("e_rel", S.clip(F.col("e_rel"), -3.0, 3.0))
     acf = stats.autocorrelation(producing, "e_kw", order=order)
     return {
         "histogram": stats.histogram(producing, "e_kw", 80, by),
@@ -51,6 +54,13 @@ def residual_diagnostics(residuals: DataFrame, drivers: Sequence[str] = (C.RADIA
         "kruskal_wallis": stats.kruskal_wallis(producing, "e_kw", "season", by),
         "drivers": stats.driver_correlations(producing, "e_kw", drivers, by),
         "exceedance": evaluate.exceedance(residuals, by),
+        "significant_lags": stats.significant_lags(acf, by),
+        "qq_fit_relative": stats.qq_fit(relative, "e_rel", by),
+        "daily_digest": evaluate.daily_digest(evaluate.daily_residual(residuals, by), by),
+        "box_by_season": evaluate.box_statistics(producing, "e_kw", [*by, "season"]),
+        "box_by_hour": evaluate.box_statistics(producing, "e_kw", [*by, "hour"]),
+        **{f"hexagons_{x}": stats.hexagon_counts(producing, x, "e_kw", by=by) for x in drivers},
+        **{f"lowess_{x}": stats.lowess_grid(producing, x, "e_kw", by=by, passes=3) for x in drivers},
     }
 
 

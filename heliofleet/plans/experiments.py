@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import contracts as C
+from ..functions import scalar as S
 from ..operators import evaluate
 from ..operators.series import add_horizons, horizon_names
 from ..operators.splits import adapted_split, assign_split, season_windows
@@ -33,7 +34,8 @@ def memory_comparison(
     """Models with and without memory features and the last-value baseline on common test rows.
 
     Rows are matched by plant and timestamp. The baseline is the last-value column of the memory features, so it is
-    scored on exactly the rows of the models.
+    scored on exactly the rows of the models. The best model of either scenario, by RMSE on the common producing rows, is
+    broken down by hour and irradiance over rows that produce at all.
     """
     stacks, naive = [], None
     for scenario, (feats, names) in _scenarios(df, plants).items():
@@ -46,11 +48,19 @@ def memory_comparison(
     both = stacks[0].unionByName(stacks[1])
     common = evaluate.common_keys(*[s.filter(F.col("split") == "test") for s in stacks])
     test = both.unionByName(naive).filter(F.col("split") == "test").join(common, [C.PLANT, C.TS], "left_semi")
+    best = evaluate.best_model(evaluate.metrics_producing(both.filter(F.col("split") == "test").join(common, [C.PLANT, C.TS], "left_semi"),
+                                                          ("scenario", "model")), ("scenario",))
+    chosen = test.join(best.select("scenario", F.col("best_model").alias("model")), ["scenario", "model"], "left_semi")
+    errors = chosen.filter(evaluate.producing(0.0)).withColumn("error", F.col("y_true") - F.col("y_pred"))
+    named = {"scenario": F.col("scenario"), "model": F.col("model")}
     compared = evaluate.merge_scopes(test.withColumnRenamed("scenario", "type"))
     return {
         "scopes": evaluate.scope_frame(both),
         "comparison": evaluate.improvement_over(compared, "naive"),
         "predictions": evaluate.prediction_export(both),
+        "best": best,
+        "by_hour": evaluate.segment(errors, {**named, "hour": F.hour(C.TS)}, error="error"),
+        "by_irradiance": evaluate.segment(errors, {**named, "rad_bin": S.irradiance_band(F.col(C.RADIATION))}, error="error"),
     }
 
 
@@ -117,4 +127,5 @@ def horizon_comparison(
            "delta": evaluate.horizon_steps_delta(table)}
     if importance_of:
         out["importance"] = feature_importance(df.sparkSession, fitted, names)
+        out["tracked"] = evaluate.tracked_features(out["importance"])
     return out
