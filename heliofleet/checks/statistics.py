@@ -131,6 +131,13 @@ def qq_fit_relative(spark, d):
     return stats.qq_fit(clipped, "e_rel", (C.PLANT,))
 
 
+@check("qq_points", QQ.split("SELECT id_planta, regr_slope")[0].format(v="e_kw", q=_sql_quantile("p")) + """
+SELECT id_planta, v AS e_kw, count(*) AS n_equal, min(score) AS score_first, max(score) AS score_last FROM s GROUP BY 1, 2""",
+       "e_kw score_first score_last", PRODUCING)
+def qq_points(spark, d):
+    return stats.qq_points(producing(spark, d), "e_kw", (C.PLANT,)).drop("n_below", "n_total")
+
+
 @check("residual_percentiles", " UNION ALL ".join(
     f"SELECT id_planta, CAST({p} AS DOUBLE) AS p, quantile_cont(e_kw, {p}) AS q FROM x GROUP BY 1" for p in (0.01, 0.99)), "p q", PRODUCING)
 def residual_percentiles(spark, d):

@@ -110,3 +110,16 @@ def test_robust_lowess_against_a_plain_loop(spark):
     flat = spark.range(30).select(F.lit(1.0).alias("x"), F.when(F.col("id") == 0, 9.0).otherwise(2.0).alias("y"))
     assert {r["trend"] for r in stats.lowess_grid(flat, "x", "y", points=5, passes=3).collect()} <= {2.0, (9 + 29 * 2) / 30}
     assert stats.lowess_grid(rows.limit(0), "x", "y", by=("g",), passes=1).count() == 0
+
+
+def test_qq_points_against_the_standard_library(spark):
+    from statistics import NormalDist
+
+    values = [3.0, 1.0, 1.0, 2.0, 7.0, 1.0]
+    got = sorted((r["v"], r["n_equal"], r["score_first"], r["score_last"]) for r in stats.qq_points(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect())
+    n = len(values)
+    top = 0.5 ** (1 / n)
+    score = [NormalDist().inv_cdf(p) for p in [1 - top, *[(i - 0.3175) / (n + 0.365) for i in range(2, n)], top]]
+    want = [(1.0, 3, score[0], score[2]), (2.0, 1, score[3], score[3]), (3.0, 1, score[4], score[4]), (7.0, 1, score[5], score[5])]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [x for g in got for x in g[2:]] == pytest.approx([x for w in want for x in w[2:]], abs=1e-6)
