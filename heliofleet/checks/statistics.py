@@ -204,7 +204,7 @@ w AS (SELECT f.*, (1 - (d / h) ** 3) ** 3 AS w FROM f JOIN h ON h.id_planta = f.
 SELECT id_planta, i, max(gx) AS x, (sum(w * dx * dx) * sum(w * y) - sum(w * dx) * sum(w * dx * y)) / (sum(w) * sum(w * dx * dx) - sum(w * dx) ** 2) AS trend
 FROM w GROUP BY 1, 2""", "x trend", PRODUCING, 5)
 def lowess_trend(spark, d):
-    return stats.lowess_grid(producing(spark, d), C.RADIATION, "e_kw", by=(C.PLANT,))
+    return stats.lowess_grid(producing(spark, d), C.RADIATION, "e_kw", by=(C.PLANT,), closed=False)
 
 
 def _robust_sql(passes: int) -> str:

@@ -302,12 +302,16 @@ def ljung_box(acf: DataFrame, tests: Sequence[int] = (1, 4, 8, 16, 24, 48), keys
 
 
 def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0.3, by: Sequence[str] = (),
-                passes: int = 0) -> DataFrame:
+                passes: int = 0, closed: bool = True) -> DataFrame:
     """Local linear trend with tricube weights, evaluated on an even grid.
 
     Readings are first combined by distinct ``x`` (count, sums) and written; every pass after that
     reads distinct values. Bandwidth of a grid point: exact distance of its ceil(frac n)-th nearest row.
 
+    Where many rows share a value, no row may be nearer to a grid point than its bandwidth. ``closed`` windows then hold
+    the rows at that distance, alike, and every group has all its points; open ones are empty, and their points are left out.
+    Rows of a single value have no slope: the trend is their mean.
+
     Each of ``passes`` weighs rows down by their residual r against the trend between grid points: (1 - (r / 6 m)^2)^2 below
     6 m and 0 above, m the exact median of |r| in the group; with m = 0 only rows on the trend count. A grid point left
     without weight keeps its trend of the pass before.
@@ -325,27 +329,27 @@ def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0
     # Fifty rows per group; without groups the grid is those fifty rows and is broadcast.
     far = spots.join(grid, by) if by else spots.crossJoin(F.broadcast(grid))
     near = nearest_distance(far.select(*by, "i", "_n", F.abs(F.col("_x") - F.col("x")).alias("_d"), "_w"), [*by, "i"], frac)
-    reach = grid.join(near, [*by, "i"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x", "_h"))).alias("_grid"))
+    reach = grid.join(near, [*by, "i"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x", "_h", "_nearer"))).alias("_grid"))
     reach = cut_lineage(reach) if passes else reach
-    trend = _local_lines(spots, reach, by)
+    trend = _local_lines(spots, reach, by, closed)
     for _ in range(passes):
         before = cut_lineage(trend)
         spots = cut_lineage(_bisquare(rows, before, by).groupBy(*by, "_x").agg(F.sum("_r").alias("_w"), F.sum(F.col("_r") * F.col("_y")).alias("_sy")))
-        now = _local_lines(spots.filter("_w > 0"), reach, by).select(*by, "i", F.col("trend").alias("_now"))
+        now = _local_lines(spots.filter("_w > 0"), reach, by, closed).select(*by, "i", F.col("trend").alias("_now"))
         trend = before.join(now, [*by, "i"], "left").select(*by, "i", "x", F.coalesce("_now", "trend").alias("trend"))
     return trend
 
 
-def _local_lines(spots: DataFrame, reach: DataFrame, by: Sequence[str]) -> DataFrame:
+def _local_lines(spots: DataFrame, reach: DataFrame, by: Sequence[str], closed: bool) -> DataFrame:
     """Weighted line at every grid point from the spots within its bandwidth; a spot is copied to the points that see it only."""
     def sees(g: Column) -> Column:
         d = F.abs(F.col("_x") - g["x"])
-        return (d < g["_h"]) | ((g["_h"] == 0) & (d == 0))  # so many rows at the point itself that the trend is their mean
+        return (d < g["_h"]) | ((g["_nearer"] == 0) & (d == g["_h"])) if closed else d < g["_h"]
     local = _attach(spots, reach, by).withColumn("_g", F.explode(F.filter("_grid", sees))).select(
         *by, "_x", "_w", "_sy", F.col("_g.i").alias("i"), F.col("_g.x").alias("x"), F.col("_g._h").alias("_h"))
     dx = F.col("_x") - F.col("x")
     u = F.when(F.col("_h") > 0, F.abs(dx) / F.col("_h")).otherwise(0.0)
-    tri = F.pow(1 - u * u * u, 3)
+    tri = F.greatest(F.pow(1 - u * u * u, 3), F.lit(1e-60))  # rows at the bandwidth itself weigh alike
     k = tri * F.col("_w")
     sums = local.groupBy(*by, "i", "x").agg(
         F.sum(k).alias("s0"), F.sum(k * dx).alias("s1"), F.sum(k * dx * dx).alias("s2"),
@@ -374,7 +378,7 @@ def _bisquare(rows: DataFrame, trend: DataFrame, by: Sequence[str]) -> DataFrame
 
 
 def nearest_distance(weighted: DataFrame, by: Sequence[str], frac: float) -> DataFrame:
-    """``_h`` per group: smallest distance that covers ceil(frac * n) weighted rows.
+    """``_h`` per group: smallest distance that covers ceil(frac * n) weighted rows; ``_nearer``: rows at smaller ones.
 
     Counts per distance bucket find the bucket the rank falls into; only that one is ordered.
     """
@@ -392,7 +396,7 @@ def nearest_distance(weighted: DataFrame, by: Sequence[str], frac: float) -> Dat
     run = Window.partitionBy(*by, "_bucket").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     return inside.withColumn("_cum", F.col("_below") + F.sum("_w").over(run)).filter(
         F.col("_cum") >= F.col("_rank")
-    ).groupBy(*by).agg(F.min("_d").alias("_h"))
+    ).groupBy(*by).agg(F.min("_d").alias("_h"), F.min_by(F.col("_cum") - F.col("_w"), "_d").alias("_nearer"))
 
 
 def percentiles(df: DataFrame, column: str, probs: Sequence[float] = (0.01, 0.99), by: Sequence[str] = ()) -> DataFrame:

@@ -5,9 +5,11 @@ import os
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from heliofleet.checks.compare import compare
 from heliofleet.functions.special import chi2_tail, chi2_tail_of
 from heliofleet.operators import stats
 from heliofleet.plans import cleaning
@@ -112,6 +114,42 @@ def test_robust_lowess_against_a_plain_loop(spark):
     assert stats.lowess_grid(rows.limit(0), "x", "y", by=("g",), passes=1).count() == 0
 
 
+def test_lowess_windows_that_no_row_is_inside(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.round(rng.uniform(0, 70, 300), 1), np.full(200, 100.0)])
+    y = np.sin(x / 20) + rng.normal(0, 0.1, 500)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    at = np.linspace(x.min(), x.max(), 50)
+    inside = [np.unique(x[np.abs(x - g) < np.sort(np.abs(x - g))[149]]) for g in at]
+    empty = {i for i, d in enumerate(inside) if len(d) == 0}
+    assert 49 in empty and len(empty) > 1 and all(len(d) != 1 for d in inside)
+    whole = {r["i"]: r["trend"] for r in stats.lowess_grid(rows, "x", "y").collect()}
+    left = {r["i"]: r["trend"] for r in stats.lowess_grid(rows, "x", "y", closed=False).collect()}
+    assert set(whole) == set(range(50)) and set(left) == set(range(50)) - empty
+    assert [whole[i] for i in left] == pytest.approx([left[i] for i in left])
+    assert [whole[i] for i in sorted(empty)] == pytest.approx([y[300:].mean()] * len(empty))
+
+
+def _crowded_events(path):
+    """Half of the slots read the sentinel, the others no more than 696: many rows of one radiation far from all others."""
+    rng = np.random.default_rng(15)
+    n = 5 * 30 * 96
+    k = np.where(rng.random(n) < 0.5, 99, rng.integers(0, 59, n))
+    kinds = np.repeat(["click", "error", "purchase", "signup", "view"], n // 5)
+    slots = np.tile(np.datetime64("2024-01-01", "us") + np.arange(n // 5) * np.timedelta64(15, "m"), 5)
+    pd.DataFrame({
+        "event_id": np.arange(n), "ts": slots, "user_id": rng.integers(0, 150, n), "event_type": kinds,
+        "value": np.round(rng.exponential(50, n), 2), "props": [f'{{"k": {a}}}' for a in k],
+    }).to_parquet(f"{path}/events.parquet", coerce_timestamps="us")
+
+
+@pytest.mark.parametrize("name", ["lowess_trend"])
+def test_lowess_queries_where_a_third_of_the_rows_share_a_value(spark, tmp_path, name):
+    _crowded_events(tmp_path)
+    ok, note = compare(spark, str(tmp_path), name)
+    assert ok, note
+
+
 def test_qq_points_against_the_standard_library(spark):
     from statistics import NormalDist
 
