@@ -314,7 +314,8 @@ def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0
 
     Each of ``passes`` weighs rows down by their residual r against the trend between grid points: (1 - (r / 6 m)^2)^2 below
     6 m and 0 above, m the exact median of |r| in the group; with m = 0 only rows on the trend count. A grid point left
-    without weight keeps its trend of the pass before.
+    without weight keeps its trend of the pass before. With open windows a row beside a left-out grid point has no residual and
+    takes no part from there on, and a point left without weight is NaN.
     """
     by = list(by)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
@@ -334,9 +335,13 @@ def lowess_grid(df: DataFrame, x: str, y: str, points: int = 50, frac: float = 0
     trend = _local_lines(spots, reach, by, closed)
     for _ in range(passes):
         before = cut_lineage(trend)
-        spots = cut_lineage(_bisquare(rows, before, by).groupBy(*by, "_x").agg(F.sum("_r").alias("_w"), F.sum(F.col("_r") * F.col("_y")).alias("_sy")))
-        now = _local_lines(spots.filter("_w > 0"), reach, by, closed).select(*by, "i", F.col("trend").alias("_now"))
-        trend = before.join(now, [*by, "i"], "left").select(*by, "i", "x", F.coalesce("_now", "trend").alias("trend"))
+        weighed = _bisquare(rows, before, bounds, points, by)
+        spots = cut_lineage(weighed.groupBy(*by, "_x").agg(F.sum("_r").alias("_w"), F.sum(F.col("_r") * F.col("_y")).alias("_sy")))
+        if closed:
+            now = _local_lines(spots.filter("_w > 0"), reach, by, closed).select(*by, "i", F.col("trend").alias("_now"))
+            trend = before.join(now, [*by, "i"], "left").select(*by, "i", "x", F.coalesce("_now", "trend").alias("trend"))
+        else:
+            trend = _local_lines(spots, reach, by, closed).withColumn("trend", F.coalesce("trend", F.lit(math.nan)))
     return trend
 
 
@@ -361,16 +366,17 @@ def _local_lines(spots: DataFrame, reach: DataFrame, by: Sequence[str], closed:
     return sums.select(*by, "i", "x", fit.alias("trend"))
 
 
-def _bisquare(rows: DataFrame, trend: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``_r`` of every row: its robustness weight against the trend, linear between grid points."""
-    points = F.sort_array(F.collect_list(F.struct("i", "x", "trend")))
-    lines = trend.groupBy(*by).agg(points.alias("_t"))
-    first, count = F.col("_t")[0]["x"], F.size("_t")
-    step = (F.col("_t")[count - 1]["x"] - first) / (count - 1)
-    at = F.when(step > 0, (F.col("_x") - first) / step).otherwise(0.0)
-    placed = _attach(rows, lines, by).withColumn("_at", at).withColumn("_k", F.least(F.floor("_at").cast("int"), count - 2))
-    low, high = F.col("_t")[F.col("_k")]["trend"], F.col("_t")[F.col("_k") + 1]["trend"]
-    left = cut_lineage(placed.select(*by, "_x", "_y", F.abs(F.col("_y") - (low + (high - low) * (F.col("_at") - F.col("_k")))).alias("_e")))
+def _bisquare(rows: DataFrame, trend: DataFrame, bounds: DataFrame, points: int, by: Sequence[str]) -> DataFrame:
+    """``_r``: robustness weight of a row against the trend, linear between grid points; rows beside a point without trend are left out."""
+    lines = trend.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "trend"))).alias("_m")).select(
+        *by, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.try_element_at("_m", i)).alias("_t"))
+    lines = _attach(lines, bounds.select(*by, "_lo", "_hi"), by)
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    at = F.when(step > 0, (F.col("_x") - F.col("_lo")) / step).otherwise(0.0)
+    placed = _attach(rows, lines, by).withColumn("_at", at).withColumn("_k", F.least(F.floor("_at").cast("int"), F.lit(points - 2)))
+    low, high = F.col("_t")[F.col("_k")], F.col("_t")[F.col("_k") + 1]
+    distance = F.nanvl(F.abs(F.col("_y") - (low + (high - low) * (F.col("_at") - F.col("_k")))), F.lit(math.inf))
+    left = cut_lineage(placed.select(*by, "_x", "_y", distance.alias("_e")).filter("_e IS NOT NULL"))
     middle = exact_quantiles(left, "_e", (0.5,), by).select(*by, (6 * F.col("q")).alias("_six"))
     u = F.col("_e") / F.col("_six")
     weight = F.when(F.col("_six") == 0, (F.col("_e") == 0).cast("double")).when(F.col("_e") < F.col("_six"), F.pow(1 - u * u, 2)).otherwise(0.0)

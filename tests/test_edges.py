@@ -130,6 +130,28 @@ def test_lowess_windows_that_no_row_is_inside(spark):
     assert [whole[i] for i in sorted(empty)] == pytest.approx([y[300:].mean()] * len(empty))
 
 
+def test_robust_lowess_with_windows_that_no_row_is_inside(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.round(rng.uniform(0, 70, 300), 1), np.full(200, 100.0)])
+    y = np.sin(x / 20) + rng.normal(0, 0.1, 500)
+    y[::25] += 5
+    at, weight = np.linspace(x.min(), x.max(), 50), np.ones(500)
+    for last in range(3):
+        want = []
+        for g in at:
+            d = np.abs(x - g)
+            h = np.sort(d)[149]
+            k = weight * (np.where(d < h, (1 - np.minimum(d / h, 1) ** 3) ** 3, 0) if (d < h).any() else d == h)
+            cx, cy = np.average(x, weights=k), np.average(y, weights=k)
+            spread = np.sum(k * (x - cx) ** 2)
+            want.append(cy + (np.sum(k * (x - cx) * (y - cy)) / spread * (g - cx) if spread > 1e-9 else 0))
+        e = np.abs(y - np.interp(x, at, want))
+        weight = (1 - np.minimum(e / (6 * np.median(e)), 1) ** 2) ** 2
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    got = {r["i"]: r["trend"] for r in stats.lowess_grid(rows, "x", "y", passes=2).collect()}
+    assert [got.get(i) for i in range(50)] == pytest.approx(want, abs=1e-8)
+
+
 def _crowded_events(path):
     """Half of the slots read the sentinel, the others no more than 696: many rows of one radiation far from all others."""
     rng = np.random.default_rng(15)
@@ -143,7 +165,7 @@ def _crowded_events(path):
     }).to_parquet(f"{path}/events.parquet", coerce_timestamps="us")
 
 
-@pytest.mark.parametrize("name", ["lowess_trend"])
+@pytest.mark.parametrize("name", ["lowess_trend", "lowess_trend_robust"])
 def test_lowess_queries_where_a_third_of_the_rows_share_a_value(spark, tmp_path, name):
     _crowded_events(tmp_path)
     ok, note = compare(spark, str(tmp_path), name)
